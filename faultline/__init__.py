@@ -1 +1,6 @@
 """Log-incident analytics on Spark DataFrames."""
+
+from faultline.plans.analyze import Analysis, analyze_events, analyze_logs, write_analysis
+from faultline.plans.dashboard import Dashboard, dashboard
+
+__all__ = ["Analysis", "Dashboard", "analyze_events", "analyze_logs", "dashboard", "write_analysis"]

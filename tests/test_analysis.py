@@ -1,0 +1,220 @@
+from datetime import datetime, timedelta
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from faultline import analyze_events, analyze_logs, dashboard, write_analysis
+from faultline.operators import anomalies as an
+from faultline.operators import root_cause as rc
+from faultline.operators.buckets import baselines, bucket_counts
+from faultline.operators.incidents import build_incidents, incident_timeline, incidents_with_events
+from helpers import AS_OF, BASE, OUTAGE, events, parse
+
+
+def at(minute):
+    return datetime(2026, 8, 19, 10, minute)
+
+
+GOLDEN = {
+    (at(12), "database"): (2, 2, 2, 0, 1.7500, ["critical"], 0.85),
+    (at(13), "gateway-service"): (1, 1, 0, 1, 0.3015, ["http_5xx"], 0.90),
+    (at(13), "payment-api"): (4, 4, 1, 0, 1.5076, ["critical"], 0.85),
+    (at(14), "gateway-service"): (3, 3, 0, 3, 2.1106, ["error_spike", "http_5xx"], 0.90),
+    (at(14), "payment-api"): (2, 2, 1, 0, 0.3015, ["critical"], 0.85),
+}
+
+
+@pytest.fixture(scope="module")
+def outage(spark):
+    runs = spark.createDataFrame([("r", "f.log"), ("empty", "e.log")], "run_id string, file_name string")
+    return analyze_events(parse(spark, OUTAGE.splitlines()), runs, AS_OF, use_forest=False)
+
+
+def test_outage_anomalies(outage):
+    assert outage.buckets.count() == 15
+    got = {
+        (r["timestamp"], r["service_name"]): (
+            r["total_logs"], r["error_count"], r["critical_count"], r["status_5xx_count"], round(r["z_errors"], 4),
+            r["reason_codes"], round(r["confidence"], 4),
+        )
+        for r in outage.anomalies.collect()
+    }
+    assert got == GOLDEN
+
+
+def test_outage_lower_threshold(spark, outage):
+    rows = an.detect_anomalies(outage.buckets, 1.5).collect()
+    spikes = {(r["timestamp"], r["service_name"]) for r in rows if "error_spike" in r["reason_codes"]}
+    assert len(rows) == 5
+    assert spikes == {(at(12), "database"), (at(13), "payment-api"), (at(14), "gateway-service")}
+
+
+def test_outage_incident(outage):
+    rows = {r["run_id"]: r for r in outage.root_causes.collect()}
+    assert rows["r"]["likely_root_cause"] == "database" and rows["r"]["confidence"] == 0.98
+    assert rows["empty"]["likely_root_cause"] == "Unknown" and rows["empty"]["confidence"] == 0.0
+    inc = outage.incidents.collect()
+    assert len(inc) == 1
+    assert inc[0]["severity"] == "CRITICAL" and inc[0]["status"] == "OPEN" and inc[0]["start_time"] == at(12)
+    assert inc[0]["title"] == "Critical service degradation starting at 10:12 due to database failure"
+    assert inc[0]["affected_services"] == ["database", "gateway-service", "payment-api"]
+    assert "2 other services: `database`, `gateway-service`, `payment-api`." in inc[0]["summary"]
+    reg = {r["run_id"]: (r["logs_processed"], r["anomalies_detected"], r["incidents_created"]) for r in outage.registry.collect()}
+    assert reg == {"r": (23, 5, 1), "empty": (0, 0, 0)}
+    kinds = {(r["timestamp"], r["service_name"]): (r["event_type"], r["importance"]) for r in outage.timeline.collect()}
+    assert kinds[(at(12), "database")] == ("root_cause_indicator", 5)
+    assert kinds[(at(14), "gateway-service")] == ("critical_error", 4)
+    joined = incidents_with_events(outage.incidents, outage.timeline)
+    assert joined.count() == 5
+
+
+def test_outage_samples(outage):
+    rows = {(r["timestamp"], r["service_name"]): r["sample_messages"] for r in outage.anomalies.collect()}
+    assert rows[(at(12), "database")] == [
+        "pool at 92% of its connections", "no free connection slot is left", "no free connection slot is left",
+    ]
+    message = next(r["message"] for r in outage.evidence.collect() if r["service_name"] == "database")
+    assert message == (
+        'Service [database] flagged anomaly: 2 CRITICAL level errors detected. Sample: "pool at 92% of its connections"'
+    )
+
+
+def test_half_even_buckets(spark):
+    rows = events(spark, [(s, "a", "INFO", "m", None) for s in (750, 810, 749, 811)])
+    got = {r["bucket"]: r["total_logs"] for r in bucket_counts(rows, 1).collect()}
+    assert got == {at(12): 2, at(14): 2}
+
+
+def test_flat_errors_are_no_spike(spark):
+    rows = events(spark, [(60 * i, "a", "ERROR", "m", None) for i in range(12)])
+    assert an.detect_anomalies(bucket_counts(rows, 1)).count() == 0
+
+
+def test_burst(spark):
+    quiet = [(60 * i, "payment-api", "INFO", "ok", 200) for i in range(10)]
+    burst = [(660 + i, "payment-api", "ERROR", "Stripe timeout connector failed", 504) for i in range(8)]
+    rows = an.detect_anomalies(bucket_counts(events(spark, quiet + burst), 1), 1.5).collect()
+    assert len(rows) == 1
+    assert rows[0]["reason_codes"] == ["error_spike", "volume_spike", "http_5xx"]
+    assert rows[0]["reasons"][2] == "8 HTTP 5xx responses detected"
+    assert rows[0]["reasons"][0] == "Error count spike (Z-Score: 3.16)"
+
+
+def test_first_errors_rule_needs_a_baseline(spark):
+    rows = bucket_counts(events(spark, [(0, "a", "ERROR", "m", None), (60, "a", "INFO", "m", None)]), 1)
+    past = spark.createDataFrame([("a", 0.0, 0.0, 1.0, 0.0)], "service_name string, mean_errors double, std_errors double, mean_logs double, std_logs double")
+    hits = an.detect_anomalies(rows, historical=past).collect()
+    assert [h["reason_codes"] for h in hits] == [["first_errors"]] and hits[0]["confidence"] == 0.80
+    assert hits[0]["reasons"] == ["First seen errors (1 errors in window)"]
+    assert an.detect_anomalies(rows).count() == 0
+
+
+def brute_samples(pdf, bucket, service, minutes):
+    w = timedelta(minutes=minutes)
+    near = pdf[(pdf.service_name == service) & (pdf.timestamp >= bucket - w) & (pdf.timestamp <= bucket + w)]
+    bad = near[near.level.isin(["WARNING", "ERROR", "CRITICAL"])]
+    return (bad if len(bad) else near).head(3)["message"].tolist()
+
+
+def test_samples_equal_range_scan(spark):
+    import random
+
+    rnd = random.Random(7)
+    rows = []
+    for i in range(600):
+        second = rnd.choice([60 * rnd.randrange(60), 60 * rnd.randrange(60) + 30, rnd.randrange(3600)])
+        level = rnd.choice(["INFO"] * 6 + ["ERROR", "CRITICAL"])
+        rows.append((second, rnd.choice(["a", "b"]), level, f"m{i}", rnd.choice([200, 200, 200, 503])))
+    df = events(spark, rows)
+    pdf = df.select("service_name", "timestamp", "level", "message", "line_no").toPandas().sort_values("line_no")
+    hits = an.detect_anomalies(bucket_counts(df, 1))
+    got = an.with_samples(hits, df, 1).collect()
+    assert len(got) > 50
+    for r in got:
+        assert r["sample_messages"] == brute_samples(pdf, pd.Timestamp(r["timestamp"]), r["service_name"], 1)
+
+
+HAND_MADE = [
+    (0, "database", ["Connection pool exhaustion warning"], 0.85, "slots are reserved"),
+    (120, "payment-api", ["Error count spike (Z-Score: 3.42)"], 0.90, "Database timeout occurred"),
+    (180, "gateway-service", ["HTTP 5xx responses detected"], 0.92, "Checkout failed"),
+]
+
+
+def test_hand_made_root_cause(spark):
+    rows = [("r", svc, BASE + timedelta(seconds=s), BASE, reasons, conf, [m]) for s, svc, reasons, conf, m in HAND_MADE]
+    found = spark.createDataFrame(
+        rows,
+        "run_id string, service_name string, timestamp timestamp, first_bucket timestamp, reasons array<string>, confidence double, sample_messages array<string>",
+    )
+    logs = events(spark, [
+        (0, "database", "CRITICAL", "FATAL: remaining connection slots", None),
+        (120, "payment-api", "ERROR", "Database timeout occurred", None),
+        (180, "gateway-service", "ERROR", "HTTP 500: checkout failure", 500),
+    ])
+    scores = rc.score_services(found, rc.hints_from_events(logs))
+    assert {r["service_name"]: r["score"] for r in scores.collect()} == {"database": 125.0, "payment-api": 35.0, "gateway-service": 10.0}
+    roots = rc.pick_root(scores)
+    evidence = rc.evidence_chain(found, roots)
+    got = {r["service_name"]: (r["level"], r["is_root_cause_indicator"]) for r in evidence.collect()}
+    assert got == {"database": ("WARNING", True), "payment-api": ("ERROR", False), "gateway-service": ("ERROR", False)}
+    incident = build_incidents(roots, evidence).first()
+    assert incident["root_cause"] == "database" and incident["confidence"] > 0.8 and incident["severity"] == "CRITICAL"
+    assert incident_timeline(evidence).count() == 3
+
+
+def test_upstream_summary_and_severity(spark):
+    rows = [("r", "web", at(0), at(0), ["Log volume anomaly (Z-Score: 4.00)"], 0.7, []),
+            ("r", "redis", at(1), at(0), ["Log volume anomaly (Z-Score: 4.00)"], 0.7, [])]
+    found = spark.createDataFrame(rows, "run_id string, service_name string, timestamp timestamp, first_bucket timestamp, reasons array<string>, confidence double, sample_messages array<string>")
+    hints = spark.createDataFrame([("r", "redis", True, True)], "run_id string, service_name string, has_critical boolean, has_dependency_text boolean")
+    roots = rc.pick_root(rc.score_services(found, hints))
+    row = roots.first()
+    assert row["likely_root_cause"] == "redis" and row["score"] == 80.0 and row["confidence"] == 0.73
+    assert row["summary"].startswith("Incident likely originated in the infrastructure layer `redis`. Although `web`")
+    incident = build_incidents(roots, rc.evidence_chain(found, roots)).first()
+    assert (incident["severity"], incident["title"]) == ("HIGH", "High-error spike in redis affecting downstream services")
+
+
+def test_runs_do_not_influence_each_other(spark, outage):
+    twin = parse(spark, OUTAGE.splitlines(), "r").unionByName(parse(spark, OUTAGE.splitlines()[:17], "other"))
+    runs = spark.createDataFrame([("r",), ("other",)], "run_id string")
+    both = analyze_events(twin, runs, AS_OF, use_forest=False)
+    alone = sorted(map(str, outage.anomalies.collect()))
+    assert sorted(map(str, both.anomalies.where("run_id = 'r'").collect())) == alone
+
+
+def test_partition_count_does_not_matter(spark, outage):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        runs = spark.createDataFrame([("r",)], "run_id string")
+        again = analyze_events(parse(spark, OUTAGE.splitlines()).repartition(5), runs, AS_OF, use_forest=False)
+        assert sorted(map(str, again.anomalies.collect())) == sorted(map(str, outage.anomalies.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_files_end_to_end(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "one.log").write_text(OUTAGE)
+    (src / "two.log").write_text("\n".join(OUTAGE.splitlines()[:8]))
+    result = analyze_logs(spark, str(src), AS_OF)
+    write_analysis(result, str(tmp_path / "out"))
+    reg = {r["file_name"]: r for r in spark.read.parquet(str(tmp_path / "out/analysis_runs")).collect()}
+    assert reg["one.log"]["incidents_created"] == 1 and reg["two.log"]["incidents_created"] == 0
+    assert spark.read.parquet(str(tmp_path / "out/log_events")).count() == 31
+    d = dashboard(result.services, result.incidents, result.events, AS_OF)
+    assert d.totals.first()["status_word"] == "CRITICAL DEGRADATION"
+    # One CRITICAL incident (25) and three CRITICAL services (15).
+    assert d.health_score.first()["system_health_score"] == 60.0
+    assert d.timeline.count() == 13 and d.service_health.count() == 3
+
+
+def test_baselines_are_population_statistics(spark):
+    rows = events(spark, [(0, "a", "ERROR", "m", None), (0, "a", "ERROR", "m", None), (60, "a", "INFO", "m", None)])
+    b = baselines(bucket_counts(rows, 1)).first()
+    assert (b["mean_errors"], b["std_errors"], b["n_buckets"]) == (1.0, 1.0, 2)
+    assert bucket_counts(rows, 1).agg(F.sum("total_logs")).first()[0] == 3
