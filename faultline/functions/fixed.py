@@ -29,23 +29,24 @@ CSV_ALIASES = {
     "request": ["request_id", "req_id", "trace_id"],
 }
 
-# Line shapes.
+# Line shapes. Where a pattern would test a word boundary at every position,
+# a look-ahead on the first character comes first, which is far cheaper.
 BRACKET_LINE = r"^\[([^\]]+)\]\s+\[([^\]]+)\]\s+\[([^\]]+)\]\s*(?:\[([^\]]+)\])?\s*(.*)$"
 SYSLOG_LINE = (
     r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[+-]\d{2}:?\d{2}|Z)?)"
     r"\s+([^\s:]+)\s+([A-Z]+)\s*:\s*(.*)$"
 )
 ANY_STAMP = r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?)"
-ANY_LEVEL = r"\b(DEBUG|INFO|WARN|WARNING|ERROR|CRITICAL|FATAL)\b"
-ANY_SERVICE = r"\b([a-zA-Z0-9_\-]+-service|[a-zA-Z0-9_\-]+-api|gateway|database|auth|payment)\b"
+ANY_LEVEL = r"(?=[DIWECF])\b(DEBUG|INFO|WARN|WARNING|ERROR|CRITICAL|FATAL)\b"
+ANY_SERVICE = r"\b([a-z0-9_\-]+-service|[a-z0-9_\-]+-api|gateway|database|auth|payment)\b"  # on lower case
 FALLBACK_TRIM = ": \t[]-"
 
 # Status codes and request ids.
-STATUS_CODE = r"\b(4\d{2}|5\d{2})\b"
+STATUS_CODE = r"(?=[45])\b([45]\d{2})\b"
 REQUEST_KEY_VALUE = r"\b(?:request_id|req_id|trace_id)=([^\s,]+)"
 REQUEST_TRIM = "[]{}()\"'"
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-REQUEST_UUID = r"\b(" + UUID + r")\b"
+REQUEST_UUID = r"(?=[0-9a-fA-F]{8}-)\b(" + UUID + r")\b"
 
 # Operational phrases, matched in any case.
 OPERATIONAL_PHRASES = {
@@ -59,12 +60,12 @@ OPERATIONAL_PHRASES = {
 
 # Message masks, applied in this order.
 MESSAGE_MASKS = [
-    ("<TIMESTAMP>", r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b"),
-    ("<IP>", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
-    ("<UUID>", r"\b" + UUID + r"\b"),
-    ("<HEX>", r"\b0x[0-9a-fA-F]+\b"),
-    ("<EMAIL>", r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"),
-    ("<NUM>", r"\b\d+\b"),
+    ("<TIMESTAMP>", r"(?=\d)\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b"),
+    ("<IP>", r"(?=\d)\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
+    ("<UUID>", r"(?=[0-9a-fA-F]{8}-)\b" + UUID + r"\b"),
+    ("<HEX>", r"(?=0x)\b0x[0-9a-fA-F]+\b"),
+    ("<EMAIL>", r"\b[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"),
+    ("<NUM>", r"(?=\d)\b\d+\b"),
 ]
 BLANK_TEMPLATE = "generic_log_event"
 

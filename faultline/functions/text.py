@@ -17,7 +17,9 @@ UNICODE = "(?U)"
 
 
 def strip(text: Column) -> Column:
-    return F.trim(text, F.lit(WHITESPACE))
+    """Trim all white space; the character-set trim is slow, so only padded texts take it."""
+    padded = text.rlike(r"^[\s\x0b\x1c-\x1f\x85\xa0]|[\s\x0b\x1c-\x1f\x85\xa0]\z")
+    return F.when(padded, F.trim(text, F.lit(WHITESPACE))).otherwise(text)
 
 
 def blank_to_null(text: Column) -> Column:
@@ -50,25 +52,27 @@ def extract_status_code(text: Column) -> Column:
 
 
 def extract_request_id(text: Column) -> Column:
-    pair = blank_to_null(F.regexp_extract(text, UNICODE + fixed.REQUEST_KEY_VALUE, 1))
+    pair = F.when(text.contains("_id="), blank_to_null(F.regexp_extract(text, UNICODE + fixed.REQUEST_KEY_VALUE, 1)))
     uuid = blank_to_null(F.regexp_extract(text, UNICODE + fixed.REQUEST_UUID, 1))
     return F.coalesce(F.trim(pair, F.lit(fixed.REQUEST_TRIM)), uuid)
 
 
+def contains_any(lowered: Column, words: list[str]) -> Column:
+    hit = lowered.contains(words[0])
+    for word in words[1:]:
+        hit = hit | lowered.contains(word)
+    return hit
+
+
 def operational_tags(text: Column) -> Column:
-    hits = [
-        F.when(text.rlike("(?i)(" + "|".join(phrases) + ")"), F.lit(tag))
-        for tag, phrases in fixed.OPERATIONAL_PHRASES.items()
-    ]
+    """Names of the phrase groups in the text; plain substring search beats patterns here."""
+    lowered = F.lower(text)
+    hits = [F.when(contains_any(lowered, words), F.lit(tag)) for tag, words in fixed.OPERATIONAL_PHRASES.items()]
     return F.array_compact(F.array(*hits))
 
 
 def mentions_dependency(text: Column) -> Column:
-    lowered = F.lower(text)
-    hit = F.lit(False)
-    for word in fixed.DEPENDENCY_WORDS:
-        hit = hit | lowered.contains(word)
-    return hit
+    return contains_any(F.lower(text), fixed.DEPENDENCY_WORDS)
 
 
 def normalize_message(message: Column) -> Column:

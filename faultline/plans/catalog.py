@@ -1,5 +1,6 @@
 """Registered queries: every operator over the whole driver tables."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.functions import text
-from faultline.functions.staging import stage
+from faultline.functions.staging import scratch_root, stage
 from faultline.operators import anomalies as an
 from faultline.operators import buckets as bk
 from faultline.operators import clusters as cl
@@ -16,7 +17,10 @@ from faultline.operators import extract as ex
 from faultline.operators import incidents as inc
 from faultline.operators import root_cause as rc
 from faultline.operators import services as sv
+from faultline.operators.forest import forest_outliers
 from faultline.sources import tables as tb
+from faultline.sources.sinks import run_registry
+from faultline.streaming import live
 
 MINUTES, Z = 60, 2.0
 
@@ -165,6 +169,36 @@ def _(spark, sf):
     return rows.select("service_name", "timestamp", F.array_join("sample_messages", " | ").alias("samples"))
 
 
+@query("anomalies_forest")
+def _(spark, sf):
+    """Rules and isolation forest together; the forest has no SQL form."""
+    buckets = stage(_buckets(spark, sf), "buckets")
+    found = an.detect_anomalies(buckets, Z, outliers=forest_outliers(buckets))
+    return codes(found).select("service_name", "timestamp", "confidence", "reason_codes")
+
+
+@query(
+    "stream_error_rate",
+    """SELECT window_start, service_name, count(*) AS total_logs,
+      count(*) FILTER (WHERE level IN ('WARNING', 'ERROR', 'CRITICAL')) AS error_count,
+      round_even(count(*) FILTER (WHERE level IN ('WARNING', 'ERROR', 'CRITICAL')) / count(*) * 100.0, 2) AS error_rate
+    FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start FROM logs)
+    WHERE window_start + INTERVAL 5 MINUTE <= (SELECT now - INTERVAL 10 MINUTE FROM clock) GROUP BY window_start, service_name""",
+)
+def _(spark, sf):
+    """The events table as a stream, run to its end; windows behind the watermark are final."""
+    root = f"{scratch_root(spark)}/faultline/stream-{uuid.uuid4().hex}"
+    events = tb.stream_log_events(spark, sf)
+    run = (
+        live.stream_error_rate(events)
+        .writeStream.format("parquet").outputMode("append")
+        .option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 # ---------------------------------------------------------------- root cause and incidents
 
 
@@ -361,8 +395,6 @@ def _(spark, sf):
     LEFT JOIN (SELECT run_id, count(*) AS n FROM d_anomalies GROUP BY run_id) a ON a.run_id = l.run_id""",
 )
 def _(spark, sf):
-    from faultline.sources.sinks import run_registry
-
     d = DailyRuns(spark, sf)
     events = tb.log_events(spark, sf, True)
     return run_registry(events.select("run_id").distinct(), events, d.found, d.incidents).select(

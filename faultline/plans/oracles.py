@@ -20,10 +20,6 @@ def _round_bucket(ts: str, minutes: int) -> str:
     )
 
 
-def _quote(word: str) -> str:
-    return word.replace("'", "''")
-
-
 def _logs(run: str) -> str:
     from faultline.sources.tables import DEMO_SERVICES
 
@@ -177,12 +173,20 @@ def _health_ctes() -> dict[str, str]:
     }
 
 
+_UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+_MASKS = [
+    ("<TIMESTAMP>", r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b"),
+    ("<IP>", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
+    ("<UUID>", rf"\b{_UUID}\b"),
+    ("<HEX>", r"\b0x[0-9a-fA-F]+\b"),
+    ("<EMAIL>", r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"),
+]
+
+
 def _mask_sql(column: str) -> str:
     """Message masks; numbers are masked per word run so that accented neighbours count as letters."""
-    from faultline.functions.fixed import MESSAGE_MASKS
-
     sql = column
-    for mask, pattern in MESSAGE_MASKS[:-1]:
+    for mask, pattern in _MASKS:
         sql = f"regexp_replace({sql}, '{pattern}', '{mask}', 'g')"
     runs = f"regexp_extract_all({sql}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+')"
     masked = (

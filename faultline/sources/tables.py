@@ -25,7 +25,16 @@ def one_of(names: list[str], number: Column) -> Column:
 
 def log_events(spark: SparkSession, sf_dir: str, daily: bool = False) -> DataFrame:
     """``events`` as log events of one run, or of one run per day."""
-    e = table(spark, sf_dir, "events")
+    return _as_log_events(table(spark, sf_dir, "events"), daily)
+
+
+def stream_log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mapping over ``events`` read as a stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return _as_log_events(spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet"), False)
+
+
+def _as_log_events(e: DataFrame, daily: bool) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     k = F.get_json_object("props", "$.k").cast("int")
     is_err = F.col("event_type") == "error"
