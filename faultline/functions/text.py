@@ -4,7 +4,7 @@ Everything here is a Column built from JVM functions, so it stays inside
 whole-stage code generation.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import fixed
@@ -75,12 +75,27 @@ def mentions_dependency(text: Column) -> Column:
     return contains_any(F.lower(text), fixed.DEPENDENCY_WORDS)
 
 
-def normalize_message(message: Column) -> Column:
-    """Mask variable parts, collapse blanks, lower the case."""
-    masked = message
+def add_template(df: DataFrame, source: str, target: str) -> DataFrame:
+    """Column ``target``: ``source`` with variable parts masked, blanks collapsed, in lower case.
+
+    Every mask is a step of its own behind a plain substring or one-character test, so a
+    text pays only for the masks it can need.
+    """
+    out = df.withColumn(target, F.col(source))
+    text = F.col(target)
+    tests = {
+        "<TIMESTAMP>": text.contains(":") & text.contains("-"),
+        "<UUID>": text.contains("-"),
+        "<HEX>": text.contains("0x"),
+        "<EMAIL>": text.contains("@"),
+    }
+    digit = text.rlike(r"\p{Nd}")
     for mask, pattern in fixed.MESSAGE_MASKS:
-        masked = F.regexp_replace(masked, UNICODE + pattern, mask)
-    return F.lower(strip(F.regexp_replace(masked, UNICODE + r"\s+", " ")))
+        masked = F.regexp_replace(text, UNICODE + pattern, mask)
+        out = out.withColumn(target, F.when(tests.get(mask, digit), masked).otherwise(text))
+    # A single plain blank stays as it is; anything else that is blank becomes one.
+    collapsed = F.regexp_replace(text, UNICODE + r" \s+|[\s&&[^ ]]\s*", " ")
+    return out.withColumn(target, F.lower(F.trim(collapsed)))
 
 
 def tokens(template: Column) -> Column:

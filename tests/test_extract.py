@@ -121,8 +121,11 @@ def test_message_masks(spark):
         "mail Jo.Doe@example.org now": "mail <email> now",
         "  a   b\t7 ": "a b <num>",
         "é5 x5 5": "é5 x5 <num>",
+        "only words\u00a0here\n": "only words here",
+        "abcdefab-abcd-abcd-abcd-abcdefabcdef": "<uuid>",
     }
-    rows = spark.createDataFrame([(k,) for k in cases], "m string").select("m", text.normalize_message(F.col("m")).alias("t")).collect()
+    df = spark.createDataFrame([(k,) for k in cases], "m string")
+    rows = text.add_template(df, "m", "t").collect()
     assert {r["m"]: r["t"] for r in rows} == cases
 
 
