@@ -64,9 +64,8 @@ def contains_any(lowered: Column, words: list[str]) -> Column:
     return hit
 
 
-def operational_tags(text: Column) -> Column:
-    """Names of the phrase groups in the text; plain substring search beats patterns here."""
-    lowered = F.lower(text)
+def operational_tags(lowered: Column) -> Column:
+    """Names of the phrase groups in a lower-case text; plain substring search beats patterns here."""
     hits = [F.when(contains_any(lowered, words), F.lit(tag)) for tag, words in fixed.OPERATIONAL_PHRASES.items()]
     return F.array_compact(F.array(*hits))
 
