@@ -1,30 +1,46 @@
 """Durable intermediate tables.
 
-An intermediate that several branches read is written once as Parquet below the
-cluster's checkpoint folder. That cuts the lineage on storage every executor can
-reach, so a lost executor costs a re-read and not a recomputation, and gives the
-planner the true size of the table when it picks a join strategy.
+An intermediate that several branches read is written once as Parquet in a folder that every
+executor reaches. That cuts the lineage, so a lost executor costs a re-read and not a
+recomputation, and gives the planner the true size of the table when it picks a join strategy.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STAGED: list[str] = []
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a private one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="faultline-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
 
+def scratch_root(spark: SparkSession, folder: str | None = None) -> str:
+    """The folder for intermediates: ``folder``, else ``spark.checkpoint.dir``, else the warehouse.
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+    The warehouse serves only where everything that runs tasks can read it: with a ``file:``
+    warehouse that is a session on one machine, anywhere else an error is raised.
+    """
+    configured = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    one_machine = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+    if warehouse.startswith(("file:", "/")) and not one_machine:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse.rstrip('/')}/scratch"
+
+
+def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once and return a scan of what was written."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/faultline/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark, folder)}/faultline/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every intermediate of this process, once the results made from them are stored."""
+    jvm = spark._jvm
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
