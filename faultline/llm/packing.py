@@ -10,12 +10,14 @@ the last one into powers of two, which need no padding.
 """
 
 import functools
+import itertools
+import re
+import string
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ from faultline.llm.batches import by_bytes, texts
 CAPACITY = 2048
 WASTE = 1 / 128
 END_ID = 1
-WORDS_KEPT = 700_000
+WORDS_KEPT = 1_200_000
 SLICE_BYTES = 1 << 20
 FIELDS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -131,13 +133,26 @@ def encoder(path: str) -> "WordEncoder":
     return WordEncoder(path)
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they were first asked for; ``fresh`` has the new ones."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordEncoder:
     """Token ids of texts from a tokenizer that drops white space, word by word.
 
     Such a tokenizer never lets a token cross white space and folds case, so equal words have equal
     ids wherever they stand; ids of words seen before come from a bounded table. What is looked up
     is what lies between ASCII white space, with A-Z folded (not in texts that may hold special
-    strings, which are matched before folding).
+    strings, which are matched before folding). A new word of letters and a tail of punctuation is
+    put together from the two, which the tokenizer keeps apart.
     """
 
     def __init__(self, path: str):
@@ -146,64 +161,83 @@ class WordEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.known: dict[bytes, bytes] = {}
-        if self._ids(["a  b\tA"]) != [self._ids(["a"])[0] + self._ids(["b"])[0] + self._ids(["a"])[0]]:
-            raise ValueError("the tokenizer must drop white space and fold case")
+        if self._alone(["a  b\tA."]) != [b"".join(self._alone(["a", "b", "a", "."]))]:
+            raise ValueError("the tokenizer must drop white space, fold case and part punctuation from letters")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = Numbers()
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.ends = np.zeros(1 << 16, np.int64)  # of word n: from ends[n] to ends[n + 1]
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
+        if len(self.numbers) > WORDS_KEPT:
+            self._forget()
         split = [(t if b"<|" in t else t.lower()).split() for t in batch]
-        known, out, late = self.known, [], []
-        for i, words in enumerate(split):
-            try:
-                out.append(b"".join(map(known.get, words)))
-            except TypeError:  # a word not seen before
-                out.append(b"")
-                late.append(i)
-        if late:
-            new = {w for i in late for w in split[i]}
-            new.difference_update(known)
-            if len(known) + len(new) > WORDS_KEPT:
-                known.clear()
-                new = {w for i in late for w in split[i]}
-            self._learn(list(new))
-            for i in late:
-                out[i] = b"".join(map(known.__getitem__, split[i]))
-        return out
-
-    def _learn(self, words: list[bytes]) -> None:
-        odd = [w for w in words if not PLAIN.fullmatch(w.decode())]
-        self.known.update(zip(odd, self._ids([w.decode() for w in odd]), strict=True))
-        odd = set(odd)
-        parts = {w: PIECE.findall(w.decode()) for w in words if w not in odd}
-        pieces = list({p for ps in parts.values() for p in ps})
-        ids = dict(zip(pieces, self._piece_ids(pieces), strict=True))
-        for w, ps in parts.items():
-            self.known[w] = b"".join([ids[p] for p in ps])
-
-    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of strings that are one unit for the tokenizer, many to a call."""
+        found = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(split)), np.int64)
+        if self.numbers.fresh:
+            self._learn()
+        start, size = self.ends[found], self.ends[found + 1] - self.ends[found]
+        until = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(start - until[:-1], size) + np.arange(until[-1])].tobytes()
+        docs = 4 * until[np.cumsum([0] + [len(words) for words in split])]
+        return [ids[a:b] for a, b in itertools.pairwise(docs.tolist())]
+
+    def _learn(self) -> None:
+        fresh, numbers = self.numbers.fresh, self.numbers
+        first = len(numbers) - len(fresh)
+        parts: dict[int, tuple[int, int]] = {}
+        units, odd = [], []
+        for n, word in enumerate(fresh):  # grows while it is read
+            core = word.rstrip(PUNCTUATION)
+            if not core or (core == word and LETTERS.fullmatch(word)):
+                units.append(n)
+            elif LETTERS.fullmatch(core):
+                parts[n] = numbers[core], numbers[word[len(core) :]]
+            else:
+                odd.append(n)
+        out: list[bytes] = [b""] * len(fresh)
+        for n, ids in zip(units, self._units([fresh[n].decode() for n in units]), strict=True):
+            out[n] = ids
+        for n, ids in zip(odd, self._alone([fresh[n].decode() for n in odd]), strict=True):
+            out[n] = ids
+        for n, pair in parts.items():
+            out[n] = b"".join([out[m - first] if m >= first else self._known(m) for m in pair])
+        data = np.frombuffer(b"".join(out), "<u4")
+        ends = self.ends[first] + np.cumsum([len(x) // 4 for x in out])
+        self.ids = _fill(self.ids, self.ends[first], data)
+        self.ends = _fill(self.ends, first + 1, ends)
+        numbers.fresh = []
+
+    def _known(self, n: int) -> bytes:
+        return self.ids[self.ends[n] : self.ends[n + 1]].tobytes()
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of strings that the tokenizer never splits before merging, many to a call."""
         out: list[bytes] = []
-        for k in range(0, len(pieces), 500):
-            some = pieces[k : k + 500]
+        for k in range(0, len(units), 500):
+            some = units[k : k + 500]
             encoded = self.model.encode(" ".join(some), add_special_tokens=False)
-            of, ids = encoded.word_ids, encoded.ids
-            if of and of[-1] + 1 == len(some):
-                found: list[list[int]] = [[] for _ in some]
-                for word, i in zip(of, ids, strict=True):
-                    found[word].append(i)
-                out += [_packed(x) for x in found]
+            of, ids = np.array(encoded.word_ids), np.array(encoded.ids, "<u4")
+            if len(of) and of[-1] + 1 == len(some):
+                ends = np.searchsorted(of, np.arange(len(some) + 1))
+                out += [ids[a:b].tobytes() for a, b in itertools.pairwise(ends.tolist())]
             else:
-                out += self._ids(some)
+                out += self._alone(some)
         return out
 
-    def _ids(self, batch: list[str]) -> list[bytes]:
-        return [_packed(e.ids) for e in self.model.encode_batch_fast(batch, add_special_tokens=False)]
+    def _alone(self, batch: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(batch, add_special_tokens=False)]
 
 
-def _packed(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+def _fill(array: np.ndarray, at: int, data: np.ndarray) -> np.ndarray:
+    """``array``, made longer if need be, with ``data`` from ``at`` on."""
+    if at + len(data) > len(array):
+        array = np.concatenate([array, np.zeros(max(len(array), len(data)), array.dtype)])
+    array[at : at + len(data)] = data
+    return array
 
 
-#: Words that the tokenizer's normaliser leaves as they are, and its units inside them.
-PLAIN = regex.compile(r"[\x21-\x3b\x3d-\x40\x5b-\x7b\x7d\x7e\xa1-\xac\xae-\xbf\xdf-\xf6\xf8-\xff]+")
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: What a new word is parted into: folded ASCII and Latin-1 letters, and ASCII punctuation behind.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+PUNCTUATION = string.punctuation.encode()
