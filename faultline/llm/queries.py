@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import packing, token_counts
+from faultline.llm import digests, mixing, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,36 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query(
+    "op7_mixing",
+    r"""WITH d AS MATERIALIZED (SELECT doc_id, source,
+        coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+      totals AS MATERIALIZED (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+      weighted AS MATERIALIZED (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS weight FROM totals),
+      -- sources in the order in which they reach their limit: the level at which the first n of them are full
+      filled AS (SELECT *, 2 * source_size / weight AS full_at,
+        coalesce(sum(2 * source_size) OVER before, 0) AS full_sum,
+        (SELECT sum(weight) FROM weighted) - coalesce(sum(weight) OVER before, 0) AS open_weight
+        FROM weighted WINDOW before AS (ORDER BY 2 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      level AS (SELECT (1.5 * (SELECT sum(source_size)::DOUBLE FROM totals) - full_sum) / open_weight AS level FROM filled
+        WHERE (1.5 * (SELECT sum(source_size)::DOUBLE FROM totals) - full_sum) / open_weight <= full_at ORDER BY full_at LIMIT 1),
+      aims AS (SELECT source, source_size, least(weight * level, (2 * source_size)::DOUBLE) AS target FROM weighted, level),
+      placed AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size, md5(doc_id::VARCHAR), doc_id) - 1 AS k FROM d),
+      rated AS (SELECT doc_id, size, source_size, target, k, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+        ('0x' || substr(md5(concat_ws(':', 'mix', '7', source)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+        FROM placed JOIN aims ON placed.source IS NOT DISTINCT FROM aims.source)
+    SELECT doc_id, size, source_size, target, (size * (floor(u + rate * (k + 1)) - floor(u + rate * k)))::BIGINT AS taken FROM rated""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan_mix(documents(spark, sf_dir))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 @query("op8_token_counts")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op9_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.fingerprint_report(documents(spark, sf_dir))
