@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import digests, mixing, packing, token_counts
+from faultline.llm import digests, mixing, packing, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op4_simhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -48,7 +53,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
       aims AS (SELECT source, source_size, least(weight * level, (2 * source_size)::DOUBLE) AS target FROM weighted, level),
       placed AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size, md5(doc_id::VARCHAR), doc_id) - 1 AS k FROM d),
       rated AS (SELECT doc_id, size, source_size, target, k, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-        ('0x' || substr(md5(concat_ws(':', 'mix', '7', source)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+        ('0x' || substr(md5(concat_ws(':', 'mix', '7', aims.source)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
         FROM placed JOIN aims ON placed.source IS NOT DISTINCT FROM aims.source)
     SELECT doc_id, size, source_size, target, (size * (floor(u + rate * (k + 1)) - floor(u + rate * k)))::BIGINT AS taken FROM rated""",
 )

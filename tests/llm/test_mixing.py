@@ -91,7 +91,8 @@ def test_query(spark, duck):
     want = sorted(cur.fetchall())
     assert sorted(tuple(r) for r in q.QUERIES["op7_mixing"](spark, SF).select(names).collect()) == want
     target, taken = defaultdict(float), Counter()
-    for doc, size, _, t, k in want:
-        target[t] = t
-        taken[t] += k
-    assert max(abs(taken[t] - t) / t for t in target) < 0.1
+    for r in want:
+        row = dict(zip(names, r, strict=True))
+        target[row["source_size"]] = row["target"]
+        taken[row["source_size"]] += row["taken"]
+    assert max(abs(taken[s] - t) / t for s, t in target.items()) < 0.1
