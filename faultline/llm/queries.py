@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import digests, embedding_dedup, mixing, packing, simhash, token_counts
+from faultline.llm import digests, embedding_dedup, line_dedup, mixing, packing, quality, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: A document is taken for good from this score on.
+GOOD = 0.3
+
+
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = quality.score(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 @query("op4_simhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
@@ -37,6 +48,22 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query(
+    "op6_line_dedup",
+    """WITH split AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents),
+      lines AS MATERIALIZED (SELECT doc_id, source, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM split),
+      boilerplate AS (SELECT line, min(doc_id) AS first FROM lines WHERE trim(line) <> ''
+        GROUP BY line HAVING count(DISTINCT source) >= 10),
+      marked AS (SELECT doc_id, pos, lines.line, coalesce(doc_id <> first, false) AS gone FROM lines LEFT JOIN boilerplate USING (line))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query(
     "op7_mixing",
     r"""WITH d AS MATERIALIZED (SELECT doc_id, source,
