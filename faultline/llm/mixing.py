@@ -8,6 +8,7 @@ Positions come from counts per task (see ``ranks``), so a hot source is no task
 """
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultline.functions.staging import stage
@@ -83,20 +84,20 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, s
 
     Rows alike in doc_id, source and text are served together: their copies are dealt evenly.
     """
-    keys = ["doc_id", "source", "size", "mark"]
-    plan = plan_mix(docs, seed, weights, share).groupBy(*keys)
-    plan = plan.agg(F.count("*").alias("_rows"), F.sum("copies").alias("_copies")).filter("_copies > 0")
-    plan = plan.select(*[F.col(k).alias(f"_{k}") for k in keys], "_rows", "_copies")
+    plan = plan_mix(docs, seed, weights, share).groupBy(*_keys("k1", "k2"))
+    plan = plan.agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")).filter("copies > 0")
     text = F.col("text").cast("string")
-    row = docs.select(F.struct("*").alias("_row"), "doc_id", "source", sizes(text).alias("size"), F.xxhash64(text).alias("mark"))
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    joined = row.join(plan, same)
-    alone = F.col("_rows") == 1
-    # copies beyond an even share go to the first of the equal rows
-    single = joined.filter(alone).withColumn("_n", F.col("_copies"))
-    several = joined.filter(~alone).withColumn("_rank", F.expr("row_number() OVER (PARTITION BY doc_id, source, size, mark ORDER BY size)"))
-    share_of = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_rank") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    both = single.select("_row", "_n").unionByName(several.select("_row", share_of.cast("long").alias("_n")))
-    return both.filter("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i")).select("_row.*")
+    row = docs.select(F.struct("*").alias("row"), "doc_id", "source", sizes(text).alias("size"), F.xxhash64(text).alias("mark"))
+    row = row.select("row", *_keys("k1", "k2"))
+    # the window finds the rows where the join has put them
+    nth = F.row_number().over(W.partitionBy("k1", "k2").orderBy(F.lit(0)))
+    joined = row.join(plan, ["k1", "k2"]).withColumn("nth", nth)
+    own = F.floor(F.col("copies") / F.col("rows")) + (F.col("nth") <= F.col("copies") % F.col("rows")).cast("long")
+    times = F.explode(F.array_repeat(F.lit(0), own.cast("int")))
+    return joined.select("row", times.alias("time")).select("row.*")
+
+
+def _keys(*names: str) -> list[Column]:
+    """Two hashes of what tells rows apart: doc_id, source, size and text."""
+    parts = [x for c in ("doc_id", "source", "size", "mark") for x in (F.isnull(c), F.col(c))]
+    return [F.xxhash64(F.lit(seed), *parts).alias(n) for seed, n in enumerate(names)]

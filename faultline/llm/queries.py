@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from faultline.llm import digests, embedding_dedup, line_dedup, mixing, packing, quality, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,15 +27,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: A document is taken for good from this score on.
-GOOD = 0.3
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 @query("op1_quality")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = quality.score(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= corpus_pipeline.GOOD).cast("int").alias("predicted"))
 
 
 @query("op4_simhash")

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultline.functions.staging import stage
@@ -81,11 +82,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
     kept, one stays.
     """
     kept = near_duplicates(docs, shingle, distance).filter("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    repeated = with_id.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    once = with_id.join(repeated, "doc_id", "left_anti")
-    first = with_id.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(first).unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    order = W.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text").cast("string")))
+    row = docs.filter("doc_id IS NOT NULL").select(F.struct("*").alias("row"), "doc_id", "text")
+    first = row.join(kept, "doc_id", "left_semi").withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    return first.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
 
 
 #: Keys of a row: the number of the variant above, the half (or the part of it) with one bit deleted below.
