@@ -7,6 +7,8 @@ into blocks and every pair of blocks is one small matrix product; what leaves a
 count of links per vector and a spanning forest of them, not the pairs.
 """
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,7 +20,6 @@ from faultline.llm.components import components, least_reached
 
 THRESHOLD = 0.95
 SAMPLE = 20_000
-PER_CELL = 128
 MOST_CELLS = 1024
 BLOCK = 2048
 SLACK = 0.5
@@ -26,8 +27,7 @@ ROUNDS = 8
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, per_cell: int = PER_CELL,
-    most_cells: int = MOST_CELLS, block: int = BLOCK, slack: float = SLACK, id_col: str = "vec_id", vector_col: str = "embedding",
+    vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, cells: int | None = None, block: int = BLOCK, slack: float = SLACK, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """``id_col``, ``n_links``, ``component_id``, ``kept`` for every row.
 
@@ -35,7 +35,8 @@ def near_duplicates(
     null, empty, zero or holds a null or a non-finite number links with nothing, and vectors of
     different length do not link. ``component_id`` is the smallest id reachable, ``kept`` marks the
     row that has it; a null id reaches whatever its links have. Repeated rows link like others.
-    The fit sees at most ``sample`` vectors, those with the least hash. ``slack`` is the width of a
+    Without ``cells`` there are half as many as the square root of the number of distinct vectors, at
+    most ``MOST_CELLS``. The fit sees at most ``sample`` vectors, those with the least hash. ``slack`` is the width of a
     cell's border as a share of the width at which no link can be missed: 1 is proven, at 0.5 a
     link is missed only if the difference of the two vectors points almost straight across.
     """
@@ -51,7 +52,7 @@ def near_duplicates(
     distinct = distinct.agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"))
     nodes = stage(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     fitted = nodes.orderBy("h1", "h2").limit(sample).select("v").toPandas()["v"]
-    counted, linked = compare(nodes, centroids(list(fitted), nodes.count(), per_cell, most_cells), threshold, block, slack)
+    counted, linked = compare(nodes, centroids(list(fitted), cells or min(MOST_CELLS, math.isqrt(nodes.count()) // 2)), threshold, block, slack)
 
     degree = counted.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(linked)
@@ -67,15 +68,14 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", kept.alias("kept")).unionByName(unlinked)
 
 
-def centroids(vectors: list, total: int, per_cell: int, most: int) -> np.ndarray:
-    """Unit centroids of the vectors with the most common length: one for each ``per_cell`` of all."""
+def centroids(vectors: list, cells: int) -> np.ndarray:
+    """Unit centroids, ``cells`` at most, of the vectors with the most common length."""
     if not vectors:
         return np.zeros((1, 1))
     sizes, counts = np.unique([len(v) for v in vectors], return_counts=True)
     x = np.stack([np.asarray(v) for v in vectors if len(v) == sizes[counts.argmax()]])
     x = unit(x)
-    cells = max(1, min(most, total // per_cell, len(x)))
-    c = x[np.random.default_rng(0).permutation(len(x))[:cells]]
+    c = x[np.random.default_rng(0).permutation(len(x))[: max(1, cells)]]
     for _ in range(ROUNDS):
         home = (x @ c.T).argmax(1)
         moved = np.zeros_like(c)
@@ -158,5 +158,7 @@ def compare(nodes: DataFrame, c: np.ndarray, threshold: float, block: int, slack
             pd.DataFrame({"node": node[tied], "other": pd.array(node[least[tied]], "Int64"), "n": pd.array([pd.NA] * tied.sum(), "Int64")}),
         ])
 
-    met = stage(dealt.groupBy("dim", "cell", "i", "j").applyInPandas(meet, "node long, other long, n long"), "vector_links")
+    keys = ["dim", "cell", "i", "j"]
+    dealt = dealt.repartition(*keys)  # by pairs of blocks, not by the cells that the join has dealt
+    met = stage(dealt.groupBy(*keys).applyInPandas(meet, "node long, other long, n long"), "vector_links")
     return met.filter("other IS NULL").select("node", "n"), met.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))

@@ -46,22 +46,22 @@ def vectors(seed, n, dim=16):
     return [[float(np.float32(x)) for x in v] for v in out]
 
 
-@pytest.mark.parametrize(("seed", "block", "per_cell"), [(1, 2048, 40), (2, 30, 64), (3, 2048, 10_000)])
-def test_all_pairs(spark, seed, block, per_cell):
+@pytest.mark.parametrize(("seed", "block", "cells"), [(1, 2048, 12), (2, 30, 8), (3, 2048, 1)])
+def test_all_pairs(spark, seed, block, cells):
     vs = vectors(seed, 250)
     odd = [None, [], [0.0] * 16, [None] + [1.0] * 15, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [1.0, 2.0], [2.0, 4.0], [1.0] * 3]
     order = np.random.default_rng(seed).permutation(len(vs) + len(odd)).tolist()
     rows = [(i, v) for i, v in zip(order, vs + odd, strict=True)]
     rows += [(None, vs[0]), (None, None), rows[4], rows[4]]
     df = spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], SCHEMA)
-    got = ed.near_duplicates(df, block=block, per_cell=per_cell, slack=1.0).collect()
+    got = ed.near_duplicates(df, block=block, cells=cells, slack=1.0).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows)
 
 
 def test_production_settings(spark):
     rows = [(i, v) for i, v in enumerate(vectors(9, 500, 64))]
     df = spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], SCHEMA)
-    got = sorted(map(tuple, ed.near_duplicates(df, per_cell=16).collect()), key=repr)
+    got = sorted(map(tuple, ed.near_duplicates(df, cells=60).collect()), key=repr)
     assert got == brute(rows)  # no link missed at the narrower border
 
 
