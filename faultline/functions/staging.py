@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: list[str] = []
+_TABLES: list[str] = []
 
 
 def scratch_root(spark: SparkSession, folder: str | None = None) -> str:
@@ -38,9 +39,22 @@ def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, name: str, column: str, buckets: int, folder: str | None = None) -> DataFrame:
+    """As ``stage``, kept in ``buckets`` by ``column``: grouping the scan by it needs no shuffle."""
+    spark = df.sparkSession
+    table = f"faultline_{name}_{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark, folder)}/faultline/{table}"
+    _STAGED.append(path)
+    _TABLES.append(table)
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def release(spark: SparkSession) -> None:
     """Remove every intermediate of this process, once the results made from them are stored."""
     jvm = spark._jvm
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _STAGED:
         path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -29,3 +29,11 @@ def test_stage_and_release(spark):
     staging.release(spark)
     with pytest.raises(Exception, match="(?i)not.exist"):
         df.count()
+
+
+def test_stage_bucketed(spark):
+    df = staging.stage_bucketed(spark.range(50).selectExpr("id % 7 AS k", "id"), "sevens", "k", 3)
+    counts = df.groupBy("k").count()
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sum(r["count"] for r in counts.collect()) == 50
+    staging.release(spark)
