@@ -166,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: s
     chosen = labels.filter(F.col(label_col).isNotNull() & ~held_out()).select("doc_id", F.col(label_col).cast("double").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    seen = known.limit(sample).mapInArrow(_features, "label double, x array<double>").toPandas()
+    seen = known.mapInArrow(_features, "label double, x array<double>").limit(sample).toPandas()
     x = np.array(seen["x"].tolist()).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, seen["label"]))  # the same model whatever order the rows come in
     return fit(x[order], seen["label"].to_numpy()[order])
