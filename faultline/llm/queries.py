@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from faultline.llm import digests, embedding_dedup, line_dedup, mixing, packing, quality, simhash, substring_dedup, token_counts
+from faultline.llm import digests, embedding_dedup, line_dedup, mixing, packing, pii, quality, simhash, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= corpus_pipeline.GOOD).cast("int").alias("predicted"))
 
 
+@query("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the digest are those of the strict spans; ``n_added`` counts the accepted candidates."""
+    docs = documents(spark, sf_dir)
+    found = pii.find(docs, pii.learn(docs))
+    base = F.filter("spans", lambda s: s["strict"])
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.expr(f"filter(spans, s -> s.strict AND s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    added = F.size(F.filter("spans", lambda s: ~s["strict"])).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, added, F.sha2(text(base), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
 @query("op3_substring_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.dedup_passages(documents(spark, sf_dir))
