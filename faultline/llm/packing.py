@@ -27,7 +27,7 @@ from faultline.llm.batches import by_bytes, texts
 CAPACITY = 2048
 WASTE = 1 / 128
 END_ID = 1
-WORDS_KEPT = 1_200_000
+WORDS_KEPT = 800_000
 SLICE_BYTES = 1 << 20
 FIELDS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
