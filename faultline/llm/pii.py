@@ -268,7 +268,8 @@ def learn(docs: DataFrame, passages: int = PASSAGES, chars: int = PASSAGE_CHARS)
     """A model for this corpus from the beginnings of ``passages`` documents with the least text hash."""
     text = F.col("text").cast("string")
     some = docs.filter("text IS NOT NULL").select(F.xxhash64(text).alias("mark"), F.substring(text, 1, chars).alias("text"))
-    return fit(sorted(r["text"] for r in some.orderBy("mark").limit(passages).collect()))
+    # Gathered in a task: a bare limit would send that many rows of every partition to the driver.
+    return fit(sorted(some.orderBy("mark").limit(passages).agg(F.collect_list("text")).first()[0]))
 
 
 def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
