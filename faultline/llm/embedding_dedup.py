@@ -2,9 +2,10 @@
 
 Equal vectors are folded into one row with a count first. Centroids are learned on a bounded
 sample; then every vector goes to its nearest centroid's cell, and a copy of it into each other
-cell whose border it is close to, so that neighbours on both sides of a border meet. A cell is cut
-into blocks and every pair of blocks is one small matrix product; what leaves a block pair is a
-count of links per vector and a spanning forest of them, not the pairs.
+cell whose border it is close to, so that neighbours on both sides of a border meet. A cell's own
+vectors and its guests are cut into blocks; a block of its own meets each block of the cell in one
+small matrix product, guests do not meet each other. What leaves a pair of blocks is a count of
+links per vector and a spanning forest of them, not the pairs.
 """
 
 import math
@@ -19,8 +20,10 @@ from faultline.functions.staging import stage
 from faultline.llm.components import components, least_reached
 
 THRESHOLD = 0.95
-SAMPLE = 20_000
-MOST_CELLS = 1024
+SAMPLE = 65_536
+MOST_CELLS = 4096
+CHUNK = 2048
+HASHES = 1 << 40
 BLOCK = 2048
 SLACK = 0.5
 ROUNDS = 8
@@ -35,8 +38,8 @@ def near_duplicates(
     null, empty, zero or holds a null or a non-finite number links with nothing, and vectors of
     different length do not link. ``component_id`` is the smallest id reachable, ``kept`` marks the
     row that has it; a null id reaches whatever its links have. Repeated rows link like others.
-    Without ``cells`` there are half as many as the square root of the number of distinct vectors, at
-    most ``MOST_CELLS``. The fit sees at most ``sample`` vectors, those with the least hash. ``slack`` is the width of a
+    Without ``cells`` there are twice as many as the square root of the number of distinct vectors, at
+    most ``MOST_CELLS``. The fit sees about ``sample`` vectors, chosen by their hash. ``slack`` is the width of a
     cell's border as a share of the width at which no link can be missed: 1 is proven, at 0.5 a
     link is missed only if the difference of the two vectors points almost straight across.
     """
@@ -51,8 +54,10 @@ def near_duplicates(
     distinct = vectors.filter(sound).select(F.col(id_col).alias("id"), *keys, wide.alias("v")).groupBy("h1", "h2")
     distinct = distinct.agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"))
     nodes = stage(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    fitted = nodes.orderBy("h1", "h2").limit(sample).select("v").toPandas()["v"]
-    counted, linked = compare(nodes, centroids(list(fitted), cells or min(MOST_CELLS, math.isqrt(nodes.count()) // 2)), threshold, block, slack)
+    n = nodes.count()
+    share = F.pmod("h1", F.lit(HASHES)) < int(HASHES * min(1.0, sample / max(1, n)))
+    fitted = nodes.filter(share).select("h1", "h2", "v").toPandas().sort_values(["h1", "h2"])["v"]
+    counted, linked = compare(nodes, centroids(list(fitted), cells or min(MOST_CELLS, 2 * math.isqrt(n))), threshold, block, slack)
 
     degree = counted.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(linked)
@@ -77,7 +82,7 @@ def centroids(vectors: list, cells: int) -> np.ndarray:
     x = unit(x)
     c = x[np.random.default_rng(0).permutation(len(x))[: max(1, cells)]]
     for _ in range(ROUNDS):
-        home = (x @ c.T).argmax(1)
+        home = np.concatenate([(x[k : k + CHUNK] @ c.T).argmax(1) for k in range(0, len(x), CHUNK)])
         moved = np.zeros_like(c)
         np.add.at(moved, home, x)
         norms = np.linalg.norm(moved, axis=1, keepdims=True)
@@ -92,9 +97,21 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def compare(nodes: DataFrame, c: np.ndarray, threshold: float, block: int, slack: float) -> tuple[DataFrame, DataFrame]:
     """(node, n) counts of links, to be summed, and (a, b) links that span every component."""
-    margin = slack * np.sqrt(2 - 2 * threshold) * np.linalg.norm(c[:, None] - c[None], axis=2)
+
+    def near_cells(x: np.ndarray, margin: np.ndarray):
+        """(row, cell, at_home): each row's home and the cells of lower number whose border is close."""
+        for k in range(0, len(x), CHUNK):
+            near = x[k : k + CHUNK] @ c.T
+            home = near.argmax(1)
+            far = near[np.arange(len(near)), home][:, None] - near
+            row, cell = np.nonzero((far <= margin[home]) & (np.arange(len(c)) <= home[:, None]))
+            yield row + k, cell, cell == home[row]
 
     def assign(batches):
+        square = (c * c).sum(1)
+        apart = np.sqrt(np.maximum(square[:, None] + square - 2 * (c @ c.T), 0))
+        np.fill_diagonal(apart, 0)
+        margin = slack * np.sqrt(2 - 2 * threshold) * apart
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -105,11 +122,7 @@ def compare(nodes: DataFrame, c: np.ndarray, threshold: float, block: int, slack
                 own = np.flatnonzero(sizes == size)
                 x = unit(values[ends[own][:, None] + np.arange(size)])
                 if size == c.shape[1]:
-                    near = x @ c.T
-                    home = near.argmax(1)
-                    far = near[np.arange(len(x)), home][:, None] - near
-                    row, cell = np.nonzero((far <= margin[home]) & (np.arange(len(c)) <= home[:, None]))
-                    at_home = cell == home[row]
+                    row, cell, at_home = (np.concatenate(z) for z in zip(*near_cells(x, margin), strict=True))
                 else:  # the few of another length are a cell of their own
                     row, cell, at_home = np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x), bool)
                 flat = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)
@@ -121,28 +134,28 @@ def compare(nodes: DataFrame, c: np.ndarray, threshold: float, block: int, slack
 
     placed = nodes.select("node", "copies", "v").mapInArrow(assign, "dim long, cell long, at_home boolean, node long, copies long, x binary")
     placed = stage(placed, "vector_cells")
-    # the number of blocks of a cell follows from its size; each vector meets every block of its cell
-    blocks = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = placed.join(blocks, ["dim", "cell"]).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # blocks are numbered through: the cell's own first, then its guests'; how many follows from the cell's size
+    own_blocks, guest_blocks = (F.ceil(F.count_if(c) / block).cast("int") for c in (F.col("at_home"), ~F.col("at_home")))
+    blocks = placed.groupBy("dim", "cell").agg(own_blocks.alias("h"), guest_blocks.alias("g")).filter("h > 0")
+    dealt = placed.join(blocks, ["dim", "cell"])
+    dealt = dealt.withColumn("own", F.expr("CAST(IF(at_home, pmod(xxhash64(node), h), h + pmod(xxhash64(node), g)) AS int)"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("at_home"), F.col("h") + F.col("g")).otherwise(F.col("h")) - 1)))
     pair = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    dealt = dealt.select("dim", "cell", *pair, "own", "at_home", "node", "copies", "x")
+    dealt = dealt.select("dim", "cell", *pair, "own", "node", "copies", "x")
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         first = (group["own"] == group["i"]).to_numpy()
         inside = group["i"].iloc[0] == group["j"].iloc[0]
         left, right = np.flatnonzero(first), np.flatnonzero(first if inside else ~first)
         x = np.frombuffer(b"".join(group["x"]), np.float64).reshape(len(group), -1)
-        home, copies, node = (group[k].to_numpy() for k in ("at_home", "copies", "node"))
+        copies, node = (group[k].to_numpy() for k in ("copies", "node"))
         n, found = np.zeros(len(group), np.int64), []
         for k in range(0, len(left), 256):
             some = left[k : k + 256]
             at, to = np.nonzero(x[some] @ x[right].T >= threshold)
             at, to = some[at], right[to]
-            once = at < to if inside else np.ones(len(at), bool)
-            once &= home[at] | home[to]  # two guests meet in a cell of their own
-            at, to = at[once], to[once]
+            if inside:
+                at, to = at[at < to], to[at < to]
             np.add.at(n, at, copies[to])
             np.add.at(n, to, copies[at])
             found.append((at, to))
