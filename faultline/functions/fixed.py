@@ -86,6 +86,5 @@ OPEN_STATUSES = ["OPEN", "INVESTIGATING"]
 ENDED_STATUSES = ["RESOLVED", "CLOSED"]
 SEVERITY_WEIGHT = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}
 
-# Accepted file suffixes and the size limit of a JSON array file.
+# Accepted file suffixes.
 LOG_SUFFIXES = [".log", ".txt", ".csv", ".json"]
-MAX_ARRAY_FILE_BYTES = 10 * 1024 * 1024
