@@ -20,8 +20,8 @@ from faultline.functions.staging import stage
 from faultline.llm.components import components, least_reached
 
 THRESHOLD = 0.95
-SAMPLE = 65_536
-MOST_CELLS = 4096
+SAMPLE = 20_000
+MOST_CELLS = 2048
 CHUNK = 2048
 HASHES = 1 << 40
 BLOCK = 2048
