@@ -31,7 +31,8 @@ def log_events(spark: SparkSession, sf_dir: str, daily: bool = False) -> DataFra
 def stream_log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same mapping over ``events`` read as a stream."""
     schema = table(spark, sf_dir, "events").schema
-    return _as_log_events(spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet"), False)
+    stream = _as_log_events(spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet"), False)
+    return stream.withColumn("ts_defaulted", F.lit(False))  # every row of the table has its time
 
 
 def _as_log_events(e: DataFrame, daily: bool) -> DataFrame:
