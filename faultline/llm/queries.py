@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from faultline.llm import digests, embedding_dedup, line_dedup, mixing, packing, pii, quality, simhash, substring_dedup, token_counts
+from faultline.llm import digests, embedding_dedup, line_dedup, mixing, packing, pii, quality, sharding, simhash, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +122,45 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_embedding_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def crc32_sql(blob: str) -> str:
+    """CRC-32 of a text or blob for DuckDB, which has none: the update of a byte is linear in its eight bits."""
+    step, parts = 0xEDB88320, []
+    for bit in reversed(range(8)):
+        parts.append(f"((xor(c, b) >> {bit}) & 1) * {step}")
+        step = step >> 1 ^ (0xEDB88320 if step & 1 else 0)
+    update = "c >> 8"
+    for part in parts:
+        update = f"xor({update}, {part})"
+    octets = f"list_transform(regexp_extract_all(hex({blob}), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {update}), 4294967295::BIGINT)"
+
+
+def _filled(capacity: str, search: str, shards: int) -> str:
+    """Greedy filling: ``search`` with the prefix sums c1, c2, ... at which shards of ``capacity`` close."""
+    for n in range(1, shards):
+        search = f"SELECT *, (SELECT max(total) FROM sums WHERE total <= {f'c{n - 1} + ' if n > 1 else ''}{capacity}) AS c{n} FROM ({search})"
+    return search
+
+
+_SHARDS = sharding.SHARDS
+
+
+@query(
+    "op13_sharding",
+    f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size, md5(coalesce(text, '')) AS mark FROM documents),
+      sums AS MATERIALIZED (SELECT mark, sum(own) OVER (ORDER BY mark)::BIGINT AS total, own FROM (SELECT mark, sum(size) AS own FROM d GROUP BY mark)),
+      bounds AS MATERIALIZED (SELECT max(total) AS whole, (max(total) + {_SHARDS - 1}) // {_SHARDS} AS mean, max(own)::BIGINT AS longest FROM sums),
+      search AS (SELECT greatest(mean, longest) AS low, mean + longest AS high FROM bounds UNION ALL
+        SELECT CASE WHEN fits THEN low ELSE mid + 1 END, CASE WHEN fits THEN mid ELSE high END FROM (
+          SELECT low, high, mid, (SELECT whole FROM bounds) - c{_SHARDS - 1} <= mid AS fits
+          FROM ({_filled("mid", "SELECT low, high, (low + high) // 2 AS mid FROM search WHERE low < high", _SHARDS)}))),
+      cuts AS MATERIALIZED ({_filled("low", "SELECT low FROM search WHERE low >= high", _SHARDS)}),
+      placed AS (SELECT d.*, ({" + ".join(f"(total > c{n})::INT" for n in range(1, _SHARDS))})::INT AS shard FROM d JOIN sums USING (mark), cuts)
+    SELECT doc_id, size, {crc32_sql("t")} AS text_crc32, 'bytes' AS law, shard,
+      row_number() OVER (PARTITION BY shard ORDER BY mark, doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM placed""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(documents(spark, sf_dir))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
