@@ -66,6 +66,7 @@ def minimax_cuts(sums: DataFrame, shards: int, whole: int, longest: int, tried:
     """The smallest feasible capacity and the prefix sums at which it cuts."""
     low = max(-(-whole // shards), longest)
     high = -(-whole // shards) + longest  # every shard but the last then gets at least the average
+    best = None  # the cuts at capacity ``high``, once that has been tried
     while low < high:
         step = max(1, -(-(high - low) // (tried + 1)))
         capacities = list(range(low, high, step))[:tried]
@@ -73,10 +74,10 @@ def minimax_cuts(sums: DataFrame, shards: int, whole: int, longest: int, tried:
         fits = [whole - (c[-1] if c else 0) <= capacity for c, capacity in zip(cuts, capacities, strict=True)]
         if any(fits):
             at = fits.index(True)
-            low, high = (capacities[at - 1] + 1 if at else low), capacities[at]
+            low, high, best = (capacities[at - 1] + 1 if at else low), capacities[at], cuts[at]
         else:
             low = capacities[-1] + 1
-    return low, fill(sums, [low], shards, longest)[0]
+    return high, best if best is not None else fill(sums, [high], shards, longest)[0]
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
