@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from faultline.llm import digests, embedding_dedup, line_dedup, mixing, packing, pii, quality, sharding, simhash, substring_dedup, token_counts
+from faultline.llm import (
+    digests, embedding_dedup, line_dedup, mixing, packing, periodic_runs, pii, quality, sharding, simhash, spelling_variants, substring_dedup, token_counts,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,6 +139,61 @@ def crc32_sql(blob: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {update}), 4294967295::BIGINT)"
 
 
+#: One run in so many loses a letter.
+DAMAGE = 31
+
+
+@query(
+    "op11_spelling_variants",
+    f"""WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+      counted AS MATERIALIZED (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY ALL),
+      hashed AS MATERIALIZED (SELECT *, {crc32_sql("(doc_id || ':' || run)")} AS h FROM counted),
+      spelt AS (SELECT k, CASE WHEN h % {DAMAGE} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+      vocab AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+      places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab),
+      cut AS MATERIALIZED (SELECT *, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM places),
+      shorter AS MATERIALIZED (SELECT DISTINCT c.word AS a, c.n AS n_a, v.word AS b, v.n AS n_b FROM cut c JOIN vocab v ON v.word = c.rest),
+      near AS MATERIALIZED (SELECT x.word, y.word AS other, y.n AS other_n FROM cut x JOIN cut y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+        UNION ALL SELECT a, b, n_b FROM shorter UNION ALL SELECT b, a, n_a FROM shorter),
+      first AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+      led AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * v.n THEN other END AS form,
+        CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n FROM vocab v LEFT JOIN (SELECT * FROM first WHERE place = 1) f ON f.word = v.word),
+      walk AS (SELECT word, word AS at FROM led UNION ALL SELECT w.word, l.form FROM walk w JOIN led l ON l.word = w.at AND l.form IS NOT NULL)
+    SELECT led.word, led.form, w.at AS root, led.n, led.n_near, led.form_n
+    FROM led JOIN walk w ON w.word = led.word JOIN led e ON e.word = w.at AND e.form IS NULL""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(spelling_variants.vocabulary(documents(spark, sf_dir), damage=DAMAGE))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text``: the text of one document in ten goes on periodically from some word on."""
+    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(mixing.WORD), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    n = F.size("words")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g")).withColumn("n", n)
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    tail = F.expr("slice(flatten(array_repeat(slice(words, cast(a + 1 as int), cast(p as int)), cast(ceil((n - a) / p) as int))), 1, cast(n - a as int))")
+    edited = F.array_join(F.concat(F.expr("slice(words, 1, cast(a as int))"), tail), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), edited).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(documents(spark, sf_dir)))
+    steeper = """(x, y) -> CASE WHEN x.length * y.period <> y.length * x.period THEN if(x.length * y.period > y.length * x.period, -1, 1)
+      WHEN x.start <> y.start THEN if(x.start < y.start, -1, 1) ELSE cast(signum(x.period - y.period) as int) END"""
+    listed = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    best = found.withColumn("best", F.expr(f"try_element_at(array_sort(runs, {steeper}), 1)"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.expr(listed), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def _filled(capacity: str, search: str, shards: int) -> str:
     """Greedy filling: ``search`` with the prefix sums c1, c2, ... at which shards of ``capacity`` close."""
     for n in range(1, shards):
