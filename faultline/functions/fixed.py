@@ -82,6 +82,7 @@ SERVICE_TYPE_KEYWORDS = [
 DEPENDENCY_WORDS = ["database", "connection"]
 
 # Incident vocabulary.
+STATUSES = ["OPEN", "INVESTIGATING", "RESOLVED", "CLOSED"]
 OPEN_STATUSES = ["OPEN", "INVESTIGATING"]
 ENDED_STATUSES = ["RESOLVED", "CLOSED"]
 SEVERITY_WEIGHT = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}

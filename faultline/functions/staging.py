@@ -29,14 +29,19 @@ def scratch_root(spark: SparkSession, folder: str | None = None) -> str:
     return f"{warehouse.rstrip('/')}/scratch"
 
 
+def scratch(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A new path below the folder for intermediates, which ``release`` removes."""
+    path = f"{scratch_root(spark, folder)}/faultline/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once and return a scan of what was written."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark, folder)}/faultline/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name, folder)
     schema = df.schema
-    _STAGED.append(path)
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def stage_bucketed(df: DataFrame, name: str, column: str, buckets: int, folder: str | None = None) -> DataFrame:

@@ -1,6 +1,5 @@
 """Registered queries: every operator over the whole driver tables."""
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.functions import text
-from faultline.functions.staging import scratch_root, stage
+from faultline.functions.staging import scratch, stage
 from faultline.operators import anomalies as an
 from faultline.operators import buckets as bk
 from faultline.operators import clusters as cl
@@ -18,8 +17,10 @@ from faultline.operators import incidents as inc
 from faultline.operators import root_cause as rc
 from faultline.operators import services as sv
 from faultline.operators.forest import forest_outliers
+from faultline.plans import stored
 from faultline.sources import tables as tb
 from faultline.sources.sinks import run_registry
+from faultline.sources.store import Store
 from faultline.streaming import live
 
 MINUTES, Z = 60, 2.0
@@ -187,7 +188,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """The events table as a stream, run to its end; windows behind the watermark are final."""
-    root = f"{scratch_root(spark)}/faultline/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     events = tb.stream_log_events(spark, sf)
     run = (
         live.stream_error_rate(events)
@@ -402,6 +403,119 @@ def _(spark, sf):
     )
 
 
+# ---------------------------------------------------------------- stored state
+
+
+@query(
+    "analyze_end_to_end",
+    """SELECT l.run_id, 'SUCCESS' AS status, l.n AS logs_processed, coalesce(a.n, 0) AS anomalies_detected,
+      CASE WHEN a.n IS NULL THEN 0 ELSE 1 END::BIGINT AS incidents_created, t.title, t.severity, t.start_time,
+      t.affected AS affected_services, t.root_cause, t.confidence, t.summary, coalesce(a.n, 0) AS evidence_rows, coalesce(e.n, 0) AS root_rows,
+      (SELECT count(*) FROM services) AS services
+    FROM (SELECT run_id, count(*) AS n FROM d_logs GROUP BY run_id) l LEFT JOIN d_titled t ON t.run_id = l.run_id
+    LEFT JOIN (SELECT run_id, count(*) AS n FROM d_anomalies GROUP BY run_id) a ON a.run_id = l.run_id
+    LEFT JOIN (SELECT run_id, count(*) AS n FROM d_evidence WHERE is_root GROUP BY run_id) e ON e.run_id = l.run_id""",
+)
+def _(spark, sf):
+    """The events as a folder of log files, one per day; read, analysed, stored, and read back from the store."""
+    files = scratch(spark, "logs")
+    tb.write_daily_files(tb.log_events(spark, sf, True), files)
+    store = Store(spark, scratch(spark, "store"))
+    as_of = tb.latest_time(spark, sf)
+    stored.analyze_to_store(spark, f"{files}/*", store, as_of, window_minutes=MINUTES, use_forest=False)
+    at = store.snapshot()
+    per_run = store.read("evidence", at).groupBy("run_id").agg(
+        F.count("*").alias("evidence_rows"), F.count_if("is_root_cause_indicator").alias("root_rows")
+    )
+    events = store.read("log_events", at).groupBy("run_id").agg(F.count("*").alias("stored_events"))
+    services = stored.stored_services(store, at).agg(F.count("*").alias("services"))
+    runs = store.read("analysis_runs", at).select("run_id", "status", "logs_processed", "anomalies_detected", "incidents_created")
+    rows = runs.join(events, "run_id").where("stored_events = logs_processed").join(flat(stored.stored_incidents(store, at)).drop("status"), "run_id", "left")
+    rows = rows.join(per_run, "run_id", "left").fillna(0, ["evidence_rows", "root_rows"]).withColumn("services", F.lit(services.first()[0]))
+    return rows.drop("stored_events", "end_time").withColumn("run_id", F.regexp_extract("run_id", "day=([0-9-]+)", 1))
+
+
+def _stored_days(spark, sf, history: bool) -> Store:
+    """A store that holds the daily runs, with or without the changes of their status."""
+    h = Health(spark, sf)
+    events = tb.whole_events(h.events)
+    store = Store(spark, scratch(spark, "store"))
+    tables = {"log_events": events, "services": h.services, "incidents": h.incidents, "evidence": h.evidence, "incident_events": h.timeline}
+    if history:
+        tables["status_changes"] = tb.status_changes(spark, sf)
+    store.commit([store.stage(name, "days", rows) for name, rows in tables.items()])
+    return store
+
+
+@query(
+    "incident_status_set",
+    """SELECT 'incident' AS kind, run_id AS name, severity AS detail, status, end_time FROM s_current UNION ALL
+    SELECT 'service', name, type, status, NULL FROM s_health""",
+)
+def _(spark, sf):
+    """The first incident is resolved and the last one taken up; incidents and refreshed health."""
+    store = _stored_days(spark, sf, history=False)
+    now = tb.latest_time(spark, sf)
+    first, last = store.read("incidents").agg(F.min("run_id"), F.max("run_id")).first()
+    version = store.snapshot().version
+    stored.set_incident_status(store, first, "RESOLVED", now, expected=version)
+    _, health = stored.set_incident_status(store, last, "INVESTIGATING", now)
+    incidents = stored.stored_incidents(store).select(
+        F.lit("incident").alias("kind"), F.col("run_id").alias("name"), F.col("severity").alias("detail"), "status", "end_time"
+    )
+    return incidents.unionAll(health.select(F.lit("service"), "name", "type", "status", F.lit(None).cast("timestamp")))
+
+
+_PER_CENT = "CASE WHEN count(l.line_no) = 0 THEN 0.0 ELSE round_even(count(*) FILTER (WHERE l.level IN ('WARNING', 'ERROR', 'CRITICAL')) / count(l.line_no) * 100.0, 2) END"
+
+
+@query(
+    "dashboard_all",
+    f"""SELECT 'totals' AS section, 'services' AS item, NULL AS label, (SELECT count(*) FROM services)::DOUBLE AS value
+    UNION ALL SELECT 'totals', 'incidents', NULL, (SELECT count(*) FROM d_current WHERE status IN ('OPEN', 'INVESTIGATING'))
+    UNION ALL SELECT 'totals', 'events', NULL, (SELECT count(*) FROM events)
+    UNION ALL SELECT 'totals', 'status', CASE WHEN (SELECT count(*) FROM d_current WHERE status IN ('OPEN', 'INVESTIGATING')) = 0 THEN 'OPERATIONAL'
+      WHEN (SELECT count(*) FILTER (WHERE status = 'CRITICAL') FROM health) > 0 THEN 'CRITICAL DEGRADATION' ELSE 'DEGRADED TELEMETRY' END, NULL
+    UNION ALL SELECT 'totals', 'score', NULL, greatest(10, least(100, 100
+      - coalesce((SELECT sum(CASE severity WHEN 'CRITICAL' THEN 25 WHEN 'HIGH' THEN 15 ELSE 5 END) FROM d_current WHERE status IN ('OPEN', 'INVESTIGATING')), 0)
+      - coalesce((SELECT sum(CASE status WHEN 'CRITICAL' THEN 5 WHEN 'DEGRADED' THEN 2 ELSE 0 END) FROM health), 0)))
+    UNION ALL SELECT 'severities', severity, NULL, count(*) FROM d_current GROUP BY severity
+    UNION ALL SELECT 'severity_chart', s, NULL, (SELECT count(*) FROM d_current WHERE severity = s) FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW')) t(s)
+    UNION ALL SELECT 'service', name, status, error_rate FROM health
+    UNION ALL SELECT 'service_anomalies', name, NULL, anomaly_count FROM health
+    UNION ALL SELECT 'timeline', strftime(x.t, '%Y-%m-%d %H:%M'), count(l.line_no)::VARCHAR, {_PER_CENT}
+      FROM (SELECT unnest(generate_series(time_bucket(INTERVAL 5 MINUTE, now - INTERVAL 1 HOUR), now, INTERVAL 5 MINUTE)) AS t, now FROM clock) x
+      LEFT JOIN logs l ON l.ts >= x.now - INTERVAL 1 HOUR AND time_bucket(INTERVAL 5 MINUTE, l.ts) = x.t GROUP BY x.t""",
+)
+def _(spark, sf):
+    """All parts of the dashboard, read from the store in one state of it."""
+    store = _stored_days(spark, sf, history=True)
+    now = tb.latest_time(spark, sf)
+    store.commit([], lambda state: [store.stage("service_health", "current", stored.stored_health(store, now, state))])
+    d = stored.stored_dashboard(store, now)
+
+    def part(df, section, item, label=None, value=None):
+        none = F.lit(None).cast("string")
+        of = F.lit(None) if value is None else F.col(value)
+        return df.select(F.lit(section).alias("section"), item.alias("item"), (none if label is None else label).alias("label"), of.cast("double").alias("value"))
+
+    totals = d.totals
+    rows = part(totals, "totals", F.lit("status"), F.col("status_word"))
+    for item, column in (("services", "total_services"), ("incidents", "active_incidents"), ("events", "total_events")):
+        rows = rows.unionByName(part(totals, "totals", F.lit(item), value=column))
+    parts = [
+        part(d.health_score, "totals", F.lit("score"), value="system_health_score"),
+        part(d.severities, "severities", F.col("severity"), value="count"),
+        part(d.severity_chart, "severity_chart", F.col("severity"), value="count"),
+        part(d.service_health, "service", F.col("name"), F.col("status"), "error_rate"),
+        part(d.service_health, "service_anomalies", F.col("name"), value="anomaly_count"),
+        part(d.timeline, "timeline", F.date_format("timestamp", "yyyy-MM-dd HH:mm"), F.col("total_count").cast("string"), "rate"),
+    ]
+    for more in parts:
+        rows = rows.unionByName(more)
+    return rows
+
+
 # ---------------------------------------------------------------- extraction
 
 

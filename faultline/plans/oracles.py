@@ -143,8 +143,27 @@ def _root_ctes(p: str) -> dict[str, str]:
     }
 
 
+def _open_severity(current: str) -> str:
+    return f"""
+    SELECT service_name, max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2
+      WHEN 'LOW' THEN 1 ELSE 0 END) AS w
+    FROM (SELECT severity, unnest(string_split(affected, ',')) AS service_name FROM {current} WHERE {OPEN})
+    GROUP BY ALL"""
+
+
+def _health(opensev: str) -> str:
+    return f"""
+    SELECT s.name, s.type, coalesce(r.error_rate, 0.0) AS error_rate, coalesce(h.n, 0) AS anomaly_count,
+      CASE WHEN coalesce(r.error_rate, 0) >= 10 OR coalesce(o.w, 0) >= 3 THEN 'CRITICAL'
+           WHEN coalesce(r.error_rate, 0) >= 2 OR coalesce(o.w, 0) >= 1 THEN 'DEGRADED' ELSE 'HEALTHY' END AS status
+    FROM services s LEFT JOIN rates r ON r.service_name = s.name LEFT JOIN {opensev} o ON o.service_name = s.name
+    LEFT JOIN hourly h ON h.service_name = s.name"""
+
+
 def _health_ctes() -> dict[str, str]:
+    """Service health, and (``s_``) health after two status changes by hand on otherwise open incidents."""
     p = "d_"
+    by_hand = "CASE run_id WHEN (SELECT min(run_id) FROM d_titled) THEN 'RESOLVED' WHEN (SELECT max(run_id) FROM d_titled) THEN 'INVESTIGATING' ELSE 'OPEN' END"
     db, gw, ext = "db|database|postgres|sql", "gateway|nginx", "external|stripe|twilio|aws"
     return {
         "clock": "SELECT max(ts) AS now FROM events",
@@ -156,20 +175,15 @@ def _health_ctes() -> dict[str, str]:
     SELECT service_name, count(*) AS total, count(*) FILTER (WHERE {ERR}) AS errors,
       round_even(count(*) FILTER (WHERE {ERR}) / count(*) * 100.0, 2) AS error_rate
     FROM {p}logs WHERE ts >= (SELECT now FROM clock) - INTERVAL 15 MINUTE GROUP BY ALL""",
-        "opensev": f"""
-    SELECT service_name, max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2
-      WHEN 'LOW' THEN 1 ELSE 0 END) AS w
-    FROM (SELECT severity, unnest(string_split(affected, ',')) AS service_name FROM {p}current WHERE {OPEN})
-    GROUP BY ALL""",
+        "s_current": f"""
+    SELECT *, CASE WHEN status = 'RESOLVED' THEN (SELECT now FROM clock) END AS end_time FROM (SELECT *, {by_hand} AS status FROM {p}titled)""",
+        "opensev": _open_severity(f"{p}current"),
+        "s_opensev": _open_severity("s_current"),
         "hourly": f"""
     SELECT service_name, count(*) AS n FROM {p}timeline
     WHERE event_type = 'anomaly' AND ts >= (SELECT now FROM clock) - INTERVAL 1 HOUR GROUP BY ALL""",
-        "health": """
-    SELECT s.name, s.type, coalesce(r.error_rate, 0.0) AS error_rate, coalesce(h.n, 0) AS anomaly_count,
-      CASE WHEN coalesce(r.error_rate, 0) >= 10 OR coalesce(o.w, 0) >= 3 THEN 'CRITICAL'
-           WHEN coalesce(r.error_rate, 0) >= 2 OR coalesce(o.w, 0) >= 1 THEN 'DEGRADED' ELSE 'HEALTHY' END AS status
-    FROM services s LEFT JOIN rates r ON r.service_name = s.name LEFT JOIN opensev o ON o.service_name = s.name
-    LEFT JOIN hourly h ON h.service_name = s.name""",
+        "health": _health("opensev"),
+        "s_health": _health("s_opensev"),
     }
 
 

@@ -72,3 +72,51 @@ STATUS_CHANGES = T.StructType(
         T.StructField("change_id", T.LongType()),
     ]
 )
+
+EVIDENCE = T.StructType(
+    [
+        T.StructField("run_id", T.StringType()),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("first_bucket", T.TimestampType()),
+        T.StructField("service_name", T.StringType()),
+        T.StructField("level", T.StringType()),
+        T.StructField("reasons", T.ArrayType(T.StringType())),
+        T.StructField("confidence", T.DoubleType()),
+        T.StructField("is_root_cause_indicator", T.BooleanType()),
+        T.StructField("message", T.StringType()),
+    ]
+)
+
+ANALYSIS_RUNS = T.StructType(
+    [
+        T.StructField("run_id", T.StringType()),
+        T.StructField("file_name", T.StringType()),
+        T.StructField("file_size", T.LongType()),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("logs_processed", T.LongType()),
+        T.StructField("anomalies_detected", T.LongType()),
+        T.StructField("incidents_created", T.LongType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
+
+ANOMALIES = T.StructType(
+    [
+        T.StructField("run_id", T.StringType()),
+        T.StructField("service_name", T.StringType()),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("total_logs", T.LongType()),
+        T.StructField("error_count", T.LongType()),
+        T.StructField("critical_count", T.LongType()),
+        T.StructField("status_5xx_count", T.LongType()),
+        T.StructField("mean_errors", T.DoubleType()),
+        T.StructField("std_errors", T.DoubleType()),
+        T.StructField("z_errors", T.DoubleType()),
+        T.StructField("z_logs", T.DoubleType()),
+        T.StructField("confidence", T.DoubleType()),
+        T.StructField("reason_codes", T.ArrayType(T.StringType())),
+        T.StructField("reasons", T.ArrayType(T.StringType())),
+        T.StructField("sample_messages", T.ArrayType(T.StringType())),
+    ]
+)

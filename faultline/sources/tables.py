@@ -7,6 +7,8 @@ and a message, so that all operators run over whole tables of any size.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.schemas import LOG_EVENTS
+
 DEMO_SERVICES = [
     "database", "payment-api", "gateway-service", "auth-service",
     "redis-cache", "orders-api", "external-stripe", "search-service",
@@ -64,6 +66,25 @@ def _as_log_events(e: DataFrame, daily: bool) -> DataFrame:
     )
 
 
+def whole_events(events: DataFrame) -> DataFrame:
+    """``events`` with the columns that the mapping leaves out, as nulls."""
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in LOG_EVENTS if f.name not in events.columns}
+    return events.withColumns(missing | {"ts_defaulted": F.lit(False)}).select(LOG_EVENTS.fieldNames())
+
+
+def write_daily_files(events: DataFrame, folder: str) -> None:
+    """``events`` of daily runs as JSON lines, one text file per day below ``folder``/day=..., in input order."""
+    line = F.to_json(
+        F.struct(
+            F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"), F.col("service_name").alias("service"),
+            "level", "message", "status_code",
+        )
+    )
+    lines = events.select(F.col("run_id").alias("day"), "line_no", line.alias("value"))
+    dealt = lines.repartition("day").sortWithinPartitions("day", "line_no").select("day", "value")
+    dealt.write.partitionBy("day").text(folder)
+
+
 def latest_time(spark: SparkSession, sf_dir: str):
     """Newest event time, read as one aggregated row; it becomes the ``as_of`` literal."""
     return table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("m")).first()["m"]
