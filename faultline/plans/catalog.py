@@ -170,9 +170,19 @@ def _(spark, sf):
     return rows.select("service_name", "timestamp", F.array_join("sample_messages", " | ").alias("samples"))
 
 
-@query("anomalies_forest")
-def _(spark, sf):
-    """Rules and isolation forest together; the forest has no SQL form."""
+@query(
+    "anomalies_forest",
+    """SELECT service_name, bucket AS timestamp, round(greatest(CASE WHEN r1 THEN least(0.95, 0.4 + 0.15 * z_errors) ELSE 0 END,
+        CASE WHEN r2 THEN least(0.90, 0.3 + 0.12 * z_logs) ELSE 0 END, CASE WHEN r3 THEN 0.85 ELSE 0 END,
+        CASE WHEN r4 THEN 0.90 ELSE 0 END, CASE WHEN r6 THEN 0.75 ELSE 0 END), 6) AS confidence,
+      concat_ws(',', CASE WHEN r1 THEN 'error_spike' END, CASE WHEN r2 THEN 'volume_spike' END, CASE WHEN r3 THEN 'critical' END,
+        CASE WHEN r4 THEN 'http_5xx' END, CASE WHEN r6 THEN 'isolation_forest' END) AS reason_codes
+    FROM (SELECT r.*, o.bucket IS NOT NULL AND (error_count > mean_errors OR total_logs > mean_logs) AS r6
+      FROM rules r LEFT JOIN f_outliers o ON o.run_id = r.run_id AND o.service_name = r.service_name AND o.bucket = r.bucket)
+    WHERE r1 OR r2 OR r3 OR r4 OR r6""",
+)
+def _(spark, sf):
+    """Rules and isolation forest together."""
     buckets = stage(_buckets(spark, sf), "buckets")
     found = an.detect_anomalies(buckets, Z, outliers=forest_outliers(buckets))
     return codes(found).select("service_name", "timestamp", "confidence", "reason_codes")

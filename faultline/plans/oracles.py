@@ -232,6 +232,73 @@ def _text_ctes() -> dict[str, str]:
     }
 
 
+def _mix(x: str, t: str, y: str = "y") -> tuple[str, str]:
+    """Two steps of the draw: first ``y``, then the number in [0, 2^31 - 1) from ``y``."""
+    p = 2147483647
+    first = f"({x} + 7919 * ({t} + 1)) % {p}"
+    second = f"({y} * {y} % {p} * 48271 + {y}) % {p}"
+    third = f"({second}) * ({second}) + 69621 * ({t} + 1)"
+    fourth = f"((({third}) % {p}) * (({third}) % {p}) % {p} * 48271 + {x}) % {p}"
+    return first, fourth
+
+
+def _path(n: str) -> str:
+    full = f"2.0::DOUBLE * (ln({n}::DOUBLE - 1) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * ({n} - 1) / {n}"
+    return f"CASE WHEN {n} <= 1 THEN 0.0::DOUBLE WHEN {n} = 2 THEN 1.0::DOUBLE ELSE {full} END"
+
+
+def _forest_ctes() -> dict[str, str]:
+    """A hundred trees of up to eight levels per service, grown and walked level by level, one expression each."""
+    key, x = "run_id, service_name", "epoch(bucket)::BIGINT"
+    first, draw = _mix(x, "tree")
+    out = {
+        "f_buckets": f"SELECT *, count(*) OVER (PARTITION BY {key}) AS n_all FROM buckets",
+        "f_draws": f"""
+    SELECT *, {draw} AS draw FROM (SELECT *, {first} AS y FROM f_buckets, (SELECT unnest(range(100)) AS tree) WHERE n_all >= 5)""",
+        "f_points0": f"""
+    SELECT {key}, tree, total_logs::DOUBLE AS x0, error_count::DOUBLE AS x1, error_count / (total_logs + 1e-5::DOUBLE) AS x2, 1::BIGINT AS node,
+      least(n_all, 256) AS rows, ceil(log2(least(n_all, 256)))::INT AS most
+    FROM (SELECT *, row_number() OVER (PARTITION BY {key}, tree ORDER BY draw, bucket) AS nth FROM f_draws) WHERE nth <= least(n_all, 256)""",
+    }
+    one, which = _mix("2 * node", "tree", "y1")
+    two, where = _mix("(2 * node + 1)", "tree", "y2")
+    for level in range(9):
+        ranges = ", ".join(f"min(x{i}) AS l{i}, max(x{i}) AS h{i}" for i in range(3))
+        pick = lambda side: "CASE pick " + " ".join(f"WHEN {i} THEN {side}{i}" for i in range(3)) + " END"
+        out[f"f_nodes{level}"] = f"""
+    SELECT *, lo + ({where})::DOUBLE / 2147483647.0::DOUBLE * (hi - lo) AS aim FROM (
+      SELECT *, {pick('l')} AS lo, {pick('h')} AS hi FROM (
+        SELECT *, CASE WHEN {level} < most AND len(differ) > 0 THEN differ[({which}) * len(differ) // 2147483647 + 1] END AS pick FROM (
+          SELECT *, {one} AS y1, {two} AS y2,
+            list_filter([CASE WHEN h0 > l0 THEN 0 END, CASE WHEN h1 > l1 THEN 1 END, CASE WHEN h2 > l2 THEN 2 END], lambda v: v IS NOT NULL) AS differ
+          FROM (SELECT {key}, tree, node, count(*) AS size, any_value(most) AS most, {ranges} FROM f_points{level} GROUP BY ALL))))"""
+        if level < 8:
+            value = "CASE n.pick WHEN 0 THEN p.x0 WHEN 1 THEN p.x1 ELSE p.x2 END"
+            out[f"f_points{level + 1}"] = f"""
+    SELECT p.* REPLACE (2 * p.node + ({value} > CASE WHEN n.aim < n.hi THEN n.aim ELSE n.lo END)::BIGINT AS node)
+    FROM f_points{level} p JOIN f_nodes{level} n USING ({key}, tree, node) WHERE n.pick IS NOT NULL"""
+    out["f_nodes"] = " UNION ALL ".join(
+        f"SELECT {key}, tree, node, pick, CASE WHEN aim < hi THEN aim ELSE lo END AS cut, {level} + ({_path('size')}) AS path FROM f_nodes{level}" for level in range(9)
+    )
+    out["f_walk0"] = f"""
+    SELECT DISTINCT {key}, total_logs, error_count, error_count / (total_logs + 1e-5::DOUBLE) AS x2, least(n_all, 256) AS rows, tree, 1::BIGINT AS node
+    FROM f_buckets, (SELECT unnest(range(100)) AS tree) WHERE n_all >= 5"""
+    for level in range(8):
+        value = "CASE n.pick WHEN 0 THEN w.total_logs::DOUBLE WHEN 1 THEN w.error_count::DOUBLE ELSE w.x2 END"
+        out[f"f_walk{level + 1}"] = f"""
+    SELECT w.* REPLACE (CASE WHEN n.pick IS NULL THEN w.node ELSE 2 * w.node + ({value} > n.cut)::BIGINT END AS node)
+    FROM f_walk{level} w JOIN f_nodes n USING ({key}, tree, node)"""
+    out["f_scores"] = f"""
+    SELECT {key}, total_logs, error_count, round(pow(2.0::DOUBLE, -sum(n.path) / 100 / any_value({_path('w.rows')})) * 1000000000)::BIGINT AS score
+    FROM f_walk8 w JOIN f_nodes n USING ({key}, tree, node) GROUP BY ALL"""
+    out["f_outliers"] = f"""
+    SELECT {key}, bucket FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score) - 1 AS nth,
+        max(CASE WHEN place = nth0 THEN score END) OVER (PARTITION BY {key}) AS cut FROM (
+      SELECT b.*, s.score, 9 * (n_all - 1) // 10 AS place, row_number() OVER (PARTITION BY {key} ORDER BY score) - 1 AS nth0
+      FROM f_buckets b JOIN f_scores s USING ({key}, total_logs, error_count))) WHERE score > cut"""
+    return {name: sql for name, sql in out.items()}
+
+
 CTES: dict[str, str] = {
     "logs": _logs("'all'"),
     **_anomaly_ctes("", 2.0, 60),
@@ -240,6 +307,7 @@ CTES: dict[str, str] = {
     **_anomaly_ctes("d_", 2.0, 60),
     **_root_ctes("d_"),
     **_health_ctes(),
+    **_forest_ctes(),
     **_text_ctes(),
 }
 
@@ -270,5 +338,5 @@ def build(select: str) -> str:
             wanted |= {name} | _needs(name)
     if not wanted:
         return select
-    body = ",\n".join(f"{name} AS ({CTES[name]})" for name in CTES if name in wanted)
+    body = ",\n".join(f"{name} AS {'MATERIALIZED ' if name.startswith('f_') else ''}({CTES[name]})" for name in CTES if name in wanted)
     return f"WITH RECURSIVE {body}\n{select}"
