@@ -41,6 +41,10 @@ ANY_LEVEL = r"(?=[DIWECF])\b(DEBUG|INFO|WARN|WARNING|ERROR|CRITICAL|FATAL)\b"
 ANY_SERVICE = r"\b([a-z0-9_\-]+-service|[a-z0-9_\-]+-api|gateway|database|auth|payment)\b"  # on lower case
 FALLBACK_TRIM = ": \t[]-"
 
+# Names in dates.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+
 # Status codes and request ids.
 STATUS_CODE = r"(?=[45])\b([45]\d{2})\b"
 REQUEST_KEY_VALUE = r"\b(?:request_id|req_id|trace_id)=([^\s,]+)"

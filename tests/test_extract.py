@@ -19,12 +19,12 @@ CASES = {
         dict(service_name="mail-out", level="CRITICAL", status_code=429, message="quota used up", timestamp=STAMP),
     ),
     "syslog": (
-        "2026-08-19 10:14:00 payment-api ERROR: Database timeout",
-        dict(service_name="payment-api", level="ERROR", message="Database timeout", timestamp=STAMP, format="syslog"),
+        "2026-08-19 10:14:00 tram-radio WARN: no echo from stop 31",
+        dict(service_name="tram-radio", level="WARNING", message="no echo from stop 31", timestamp=STAMP, format="syslog"),
     ),
-    "no_request": ("[2026-08-19 10:01:00] [database] [INFO] Connection pool", dict(request_id=None, message="Connection pool")),
-    "only_brackets": ("[2026-08-19 10:01:00] [database] [INFO] [hello]", dict(request_id=None, message="hello", format="bracket")),
-    "three_brackets": ("[2026-08-19 10:01:00] [database] [INFO]", dict(message=None, format="bracket")),
+    "no_request": ("[2025-03-02 23:59:01] [ferry-board] [INFO] berth free", dict(request_id=None, message="berth free")),
+    "only_brackets": ("[2025-03-02 23:59:01] [ferry-board] [INFO] [moored]", dict(request_id=None, message="moored", format="bracket")),
+    "three_brackets": ("[2025-03-02 23:59:01] [ferry-board] [INFO]", dict(message=None, format="bracket")),
     "fallback": (
         "2026-08-19 10:00:00 something ERROR in order-service[22] code 503",
         dict(service_name="order-service", level="ERROR", status_code=503, format="fallback",
@@ -36,6 +36,17 @@ CASES = {
     "status_word": ('{"message":"x 500","status":"OK"}', dict(status_code=None)),
     "status_float": ('{"message":"x 500","status":401.0}', dict(status_code=None)),
     "status_zero": ('{"message":"x 500","status":0}', dict(status_code=500)),
+    "quoted_false": ('{"message":"false","msg":"b"}', dict(message="false")),
+    "quoted_zero": ('{"message":"0","msg":"b","status":"0"}', dict(message="0", status_code=0)),
+    "quoted_braces": ('{"message":"{}","severity":"[]"}', dict(message="{}")),
+    "bare_false": ('{"message":false,"msg":0,"log":"c"}', dict(message="c")),
+    "zeros": ('{"message":0.00,"msg":-0.0e3,"log":"c"}', dict(message="c")),
+    "empty_things": ('{"message":{},"msg":[ ],"log":"c"}', dict(message="c")),
+    "null_value": ('{"message":null,"msg":"","log":"c"}', dict(message="c")),
+    "last_wins": ('{"message":"a","message":"b"}', dict(message="b", details={"message": "b"})),
+    "separator": ("[2025-03-02 23:59:01] [a\x1eb] [INFO] c\x1ed\ue01e1", dict(service_name="a\x1eb", message="c\x1ed\ue01e1", format="bracket")),
+    "separator_json": ('{"message":"x\ue01e0"}', dict(message="x\ue01e0")),
+    "year_from_as_of": ("[Mar 2 23:59:01] [s] [INFO] m", dict(timestamp=datetime(2026, 3, 2, 23, 59, 1), ts_defaulted=False)),
     "aliases": ('{"msg":"b","log":"c","severity":"fatal","logger":"l"}', dict(message="b", level="CRITICAL", service_name="l")),
     "no_message": ('{"a":1}', dict(message='{"a":"1"}', service_name="unknown-service")),
     "trace_level": ("[2026-08-19 10:01:00] [x] [TRACE] m", dict(level="INFO")),
@@ -91,13 +102,28 @@ def test_request_id(spark, value, rid):
     [
         ("2026-08-19 10:14:00", STAMP), ("2026-08-19T10:14:00Z", STAMP), ("2026-08-19T12:14:00+02:00", STAMP),
         ("2026/08/19 10:14:00", STAMP), ("19/Aug/2026:10:14:00 +0000", STAMP), ("Wed, 19 Aug 2026 10:14:00 +0000", STAMP),
-        ("08/19/2026 10:14:00", STAMP), ("2026-08-19 10:14:00,000", STAMP), ("2026-13-45", None), ("10:14", None), ("x", None),
+        ("08/19/2026 10:14:00", STAMP), ("2026-08-19 10:14:00,000", STAMP),
+        ("19 Aug 2026 10:14:00", STAMP), ("20260819T101400Z", STAMP), ("202608191014", STAMP), ("20260819T121400+0200", STAMP),
+        ("Wed Aug 19 10:14:00 2026", STAMP), ("Wed Aug 19 10:14:00 CEST 2026", STAMP), ("August 19th, 2026 10:14 AM", STAMP),
+        ("Aug 19, 2026 10:14:00 pm", datetime(2026, 8, 19, 22, 14)), ("19-Aug-2026 12:14:00 AM", datetime(2026, 8, 19, 0, 14)),
+        ("19.08.2026 10:14", STAMP), ("8/19/26 10:14", STAMP), ("31/12/2026", datetime(2026, 12, 31)), ("12/31/1999", datetime(1999, 12, 31)),
+        ("10:14:00 2026-08-19", STAMP), ("2026-08-19 12:14:00 +0200", STAMP), ("2026-08-19T05:14-05:00", STAMP), ("2026 Sept 9", datetime(2026, 9, 9)),
+        ("2026-08-19T10:14:00.123456789Z", STAMP.replace(microsecond=123456)), ("99:99", None), ("12:61:00 Aug 19 2026", None),
+        ("19 Foo 2026", None), ("Aug 19 10:14:00", None), ("1755598440", None), ("30 Feb 2026", None), ("", None), ("2026-13-45", None), ("10:14", None), ("x", None),
     ],
 )
 def test_timestamps(spark, value, expected):
     assert spark.range(1).select(time.parse_timestamp(F.lit(value)).alias("t")).first()["t"] == expected
 
 
+@pytest.mark.parametrize(
+    "value,expected",
+    [("Aug 19 10:14:00", datetime(2026, 8, 19, 10, 14)), ("Wed 19 Aug", datetime(2026, 8, 19)), ("10:14", datetime(2026, 9, 1, 10, 14)), ("Feb 29 10:14:00", None), ("x", None)],
+)
+def test_missing_parts_come_from_as_of(spark, value, expected):
+    assert spark.range(1).select(time.parse_timestamp(F.lit(value), as_of()).alias("t")).first()["t"] == expected
+
+
 def test_csv_rules(spark):
     rows = spark.createDataFrame(
         [("r", 0, "2026-08-19 10:14:00", "api", "error", "got 500", ""),
