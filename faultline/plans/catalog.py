@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.functions import text
+from faultline.functions import text, time
 from faultline.functions.staging import scratch, stage
 from faultline.operators import anomalies as an
 from faultline.operators import buckets as bk
@@ -18,6 +18,7 @@ from faultline.operators import root_cause as rc
 from faultline.operators import services as sv
 from faultline.operators.forest import forest_outliers
 from faultline.plans import stored
+from faultline.sources import readers
 from faultline.sources import tables as tb
 from faultline.sources.sinks import run_registry
 from faultline.sources.store import Store
@@ -622,6 +623,59 @@ def _(spark, sf):
     return ex.extract_csv(rows, headers, as_of).select(*_PARSED)
 
 
+@query(
+    "parse_mixed",
+    f"""SELECT line_no, {_SECOND} AS timestamp, CASE WHEN line_no % 6 < 5 THEN service_name
+        ELSE coalesce(nullif(regexp_extract(service_name || ' | ' || message, '\\b([a-z0-9_\\-]+-service|[a-z0-9_\\-]+-api|gateway|database|auth|payment)\\b', 1), ''), 'system') END AS service_name,
+      level, CASE line_no % 6 WHEN 2 THEN 'false' WHEN 5 THEN
+        trim(regexp_replace('| ' || service_name || ' | ' || message, '(?i)\\b(' || level || ')\\b', '', 'g'), ': []-' || chr(9)) ELSE message END AS message,
+      CASE line_no % 6 WHEN 4 THEN 'r' || chr(30) || line_no END AS request_id,
+      CASE line_no % 6 WHEN 1 THEN 'syslog' WHEN 2 THEN 'json' WHEN 3 THEN 'json' WHEN 5 THEN 'fallback' ELSE 'bracket' END AS format FROM logs""",
+)
+def _(spark, sf):
+    """Lines of all kinds in one file: quoted and bare falsy values, dates in words, a separator in an id."""
+    as_of = F.lit("2030-01-01 00:00:00").cast("timestamp")
+    parsed = ex.extract_lines(tb.mixed_lines(spark, sf), as_of)
+    return parsed.select("line_no", "timestamp", "service_name", "level", "message", "request_id", "format")
+
+
+@query(
+    "parse_dates",
+    """SELECT event_id, CASE WHEN event_id % 13 IN (11, 12) THEN date_trunc('minute', ts) WHEN event_id % 13 = 8 THEN date_trunc('millisecond', ts)
+      ELSE date_trunc('second', ts) END AS timestamp FROM events""",
+)
+def _(spark, sf):
+    """Dates in thirteen shapes; those without a year are of the year of the newest event."""
+    written = tb.dates_as_text(spark, sf)
+    return written.select("event_id", time.parse_timestamp(F.col("written"), F.lit(tb.latest_time(spark, sf))).alias("timestamp"))
+
+
+_READ = ["day", "timestamp", "service_name", "level", "message", "status_code", "format"]
+
+
+def _read_sql(form, message="message", code="status_code"):
+    return (
+        f"SELECT run_id AS day, ts AS timestamp, service_name, level, {message} AS message, {code} AS status_code, '{form}' AS format FROM d_logs"
+    )
+
+
+def _read_back(kind: str, reader):
+    def run(spark, sf):
+        files = scratch(spark, "files")
+        tb.write_daily_files(tb.log_events(spark, sf, True), files, kind)
+        events = reader(spark, f"{files}/*", F.lit("2030-01-01 00:00:00").cast("timestamp"))
+        return events.withColumn("day", F.regexp_extract("run_id", "day=([0-9-]+)", 1)).select(_READ)
+
+    return run
+
+
+_TWO_LINES = "(message || CASE WHEN line_no % 5 = 0 THEN chr(10) || '\"so it goes\", again' ELSE '' END)"
+query("read_text_logs", _read_sql("bracket", code=_CODE.format("message")))(_read_back("text", readers.read_text_logs))
+query("read_json_lines", _read_sql("json"))(_read_back("lines", readers.read_text_logs))
+query("read_json_array", _read_sql("json"))(_read_back("array", readers.read_json_logs))
+query("read_csv_logs", _read_sql("csv", _TWO_LINES))(_read_back("csv", readers.read_csv_logs))
+
+
 @query("level_normalised", f"SELECT {_RAW_LEVEL} AS level, count(*) AS n FROM logs GROUP BY ALL")
 def _(spark, sf):
     raw = tb.one_of(tb.RAW_LEVELS, F.col("line_no"))

@@ -72,17 +72,69 @@ def whole_events(events: DataFrame) -> DataFrame:
     return events.withColumns(missing | {"ts_defaulted": F.lit(False)}).select(LOG_EVENTS.fieldNames())
 
 
-def write_daily_files(events: DataFrame, folder: str) -> None:
-    """``events`` of daily runs as JSON lines, one text file per day below ``folder``/day=..., in input order."""
-    line = F.to_json(
-        F.struct(
-            F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"), F.col("service_name").alias("service"),
-            "level", "message", "status_code",
-        )
-    )
-    lines = events.select(F.col("run_id").alias("day"), "line_no", line.alias("value"))
+def write_daily_files(events: DataFrame, folder: str, kind: str = "lines") -> None:
+    """``events`` of daily runs as files below ``folder``/day=..., one per day, in input order.
+
+    ``kind``: JSON ``lines`` or bracket ``text`` in text files, a JSON ``array``, or ``csv`` whose
+    messages run over two lines now and then.
+    """
+    stamp = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp")
+    fields = [stamp, F.col("service_name").alias("service"), F.col("level"), F.col("message"), F.col("status_code")]
+    dated = events.withColumn("day", F.col("run_id"))
+    if kind == "csv":
+        two_lines = F.when(F.col("line_no") % 5 == 0, F.concat("message", F.lit('\n"so it goes", again'))).otherwise(F.col("message"))
+        rows = dated.select("day", "line_no", *fields[:3], two_lines.alias("message"), "status_code")
+        rows = rows.repartition("day").sortWithinPartitions("day", "line_no").drop("line_no")
+        rows.write.partitionBy("day").options(header=True, escape='"', ignoreLeadingWhiteSpace=False).csv(folder)
+        return
+    value = F.to_json(F.struct(*fields))
+    if kind == "text":
+        value = F.format_string("[%s] [%s] [%s] %s", stamp, "service_name", "level", "message")
+    if kind == "array":
+        ends = dated.groupBy("day").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"))
+        dated = dated.join(ends, "day")
+        opening = F.when(F.col("line_no") == F.col("first"), "[").otherwise(" ,")
+        value = F.concat(opening, value, F.when(F.col("line_no") == F.col("last"), "]").otherwise(""))
+    lines = dated.select("day", "line_no", value.alias("value"))
     dealt = lines.repartition("day").sortWithinPartitions("day", "line_no").select("day", "value")
-    dealt.write.partitionBy("day").text(folder)
+    if kind == "array":  # the writer of unquoted one-column CSV gives its files any ending
+        plain = {"header": False, "quote": "", "sep": "\x01", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "escape": "", "extension": "json"}
+        dealt.write.partitionBy("day").options(**plain).csv(folder)
+    else:
+        dealt.write.partitionBy("day").text(folder)
+
+
+#: Shapes of dates, as patterns for writing them, with the precision that they keep.
+DATE_SHAPES = [
+    ("MMM d HH:mm:ss", "second"), ("d MMM yyyy HH:mm:ss", "second"), ("yyyyMMdd'T'HHmmss'Z'", "second"),
+    ("EEE MMM d HH:mm:ss yyyy", "second"), ("MMMM d, yyyy h:mm:ss a", "second"), ("dd-MMM-yyyy HH:mm:ss", "second"),
+    ("MM/dd/yyyy HH:mm:ss", "second"), ("dd/MMM/yyyy:HH:mm:ss '+0000'", "second"), ("yyyy.MM.dd HH:mm:ss,SSS", "millisecond"),
+    ("EEEE, MMMM d, yyyy HH:mm:ss 'UTC'", "second"), ("HH:mm:ss yyyy/MM/dd", "second"), ("yyyyMMddHHmm", "minute"), ("M/d/yy HH:mm", "minute"),
+]
+
+
+def dates_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id and its time written in one shape of ``DATE_SHAPES``, in turn."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    shaped = F.coalesce(*[F.when(F.col("event_id") % len(DATE_SHAPES) == i, F.date_format("ts", p)) for i, (p, _) in enumerate(DATE_SHAPES)])
+    return e.select("event_id", shaped.alias("written"))
+
+
+def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as raw lines of six shapes in turn."""
+    e = log_events(spark, sf_dir)
+    stamp = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
+    words = F.date_format("timestamp", "d MMM yyyy HH:mm:ss")
+    shapes = [
+        F.format_string("[%s] [%s] [%s] %s", stamp, "service_name", "level", "message"),
+        F.format_string("%s %s %s: %s", stamp, "service_name", "level", "message"),
+        F.format_string('{"time": "%s", "service": "%s", "level": "%s", "message": "false", "msg": "%s"}', stamp, "service_name", "level", "message"),
+        F.format_string('{"date": "%s", "logger": "%s", "severity": "%s", "message": false, "msg": 0.0, "log": "%s"}', words, "service_name", "level", "message"),
+        F.format_string("[%s] [%s] [%s] [r\x1e%s] %s", words, "service_name", "level", "line_no", "message"),
+        F.format_string("%s %s | %s | %s", stamp, "level", "service_name", "message"),
+    ]
+    value = F.coalesce(*[F.when(F.col("line_no") % len(shapes) == i, s) for i, s in enumerate(shapes)])
+    return e.select("run_id", F.lit("events").alias("file_name"), "line_no", value.alias("value"))
 
 
 def latest_time(spark: SparkSession, sf_dir: str):
