@@ -26,11 +26,13 @@ CHUNK = 2048
 HASHES = 1 << 40
 BLOCK = 2048
 SLACK = 0.5
+#: Components of a vector from which on SLACK serves; below, the border grows to the proven one.
+WIDE = 16
 ROUNDS = 8
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, cells: int | None = None, block: int = BLOCK, slack: float = SLACK, id_col: str = "vec_id", vector_col: str = "embedding",
+    vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, cells: int | None = None, block: int = BLOCK, slack: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """``id_col``, ``n_links``, ``component_id``, ``kept`` for every row.
 
@@ -41,7 +43,9 @@ def near_duplicates(
     Without ``cells`` there are twice as many as the square root of the number of distinct vectors, at
     most ``MOST_CELLS``. The fit sees about ``sample`` vectors, chosen by their hash. ``slack`` is the width of a
     cell's border as a share of the width at which no link can be missed: 1 is proven, at 0.5 a
-    link is missed only if the difference of the two vectors points almost straight across.
+    link is missed only if the difference of the two vectors points almost straight across. The
+    fewer components, the likelier that is, so without ``slack`` the share is 2 over the root of
+    their number, at least 0.5 and at most 1. An empty table gives an empty result.
     """
     wide = F.col(vector_col).cast("array<double>")
     sound = (F.size(wide) > 0) & ~F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -57,7 +61,9 @@ def near_duplicates(
     n = nodes.count()
     share = F.pmod("h1", F.lit(HASHES)) < int(HASHES * min(1.0, sample / max(1, n)))
     fitted = nodes.filter(share).select("h1", "h2", "v").toPandas().sort_values(["h1", "h2"])["v"]
-    counted, linked = compare(nodes, centroids(list(fitted), cells or min(MOST_CELLS, 2 * math.isqrt(n))), threshold, block, slack)
+    c = centroids(list(fitted), cells or min(MOST_CELLS, 2 * math.isqrt(n)))
+    share = border(c.shape[1]) if slack is None else slack
+    counted, linked = compare(nodes, c, threshold, block, share)
 
     degree = counted.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(linked)
@@ -73,6 +79,11 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", kept.alias("kept")).unionByName(unlinked)
 
 
+def border(dim: int) -> float:
+    """Share of the proven border that serves for vectors of ``dim`` components."""
+    return min(1.0, SLACK * math.sqrt(WIDE / dim)) if dim < WIDE else SLACK
+
+
 def centroids(vectors: list, cells: int) -> np.ndarray:
     """Unit centroids, ``cells`` at most, of the vectors with the most common length."""
     if not vectors:

@@ -34,9 +34,12 @@ def widespread(lines: DataFrame, min_sites: int) -> DataFrame:
     return sure.select("h1", "h2", "first").unionByName(near.join(exact, ["h1", "h2"]).select("h1", "h2", "first"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source", counts: bool = True) -> DataFrame:
     """The rows of ``docs`` with boilerplate cut from ``text``, all columns, and ``n_lines``, ``n_removed``.
 
+    Without ``counts`` these two are left out; with it they stand in place of columns of ``docs``
+    that have their names.
+
     Lines end at "\\n". A line that occurs on at least ``min_sites`` distinct sites (null is a site of
     its own) is cut from every document but that with the smallest ``doc_id``, so that one copy of
     every line stays; rows without an id come last and keep a line only if no row with an id has
@@ -55,8 +58,10 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "so
     whole = docs.select(F.struct("*").alias("row"), text.alias("body"), last.alias("doc"), *hashes(text, ("t1", "t2")))
     same = (F.col("doc") == F.col("_doc")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))
     joined = whole.join(cut, same, "left").select("row", without("body", "cut").alias("kept"), F.coalesce(F.size("cut"), F.lit(0)).alias("gone"))
-    columns = [F.col("kept.text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return joined.select(*columns, F.col("kept.lines").alias("n_lines"), F.greatest("gone", F.lit(0)).cast("long").alias("n_removed"))
+    own = [F.col("kept.lines").alias("n_lines"), F.greatest("gone", F.lit(0)).cast("long").alias("n_removed")] if counts else []
+    taken = {"n_lines", "n_removed"} if counts else set()
+    columns = [F.col("kept.text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in taken]
+    return joined.select(*columns, *own)
 
 
 @F.pandas_udf(T.StructType().add("text", "string").add("lines", "long"))

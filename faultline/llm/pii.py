@@ -27,6 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: The fit sees this many passages of this many characters.
 PASSAGES, PASSAGE_CHARS = 400, 2000
 PRECISION = 0.99
+#: Examples for the trees and their calibration, and further ones for the limits.
+FITTED, UNSEEN = 4000, 4000
 SLICE_BYTES = 2 << 20
 NEAR = 40
 
@@ -229,12 +231,10 @@ def lookalike(rng: random.Random) -> str:
     ])()
 
 
-def fit(passages: list[str], seed: int = 5) -> Model:
-    """A model from passages into which writings of every kind and lookalikes are set."""
-    rng = random.Random(seed)
-    passages = [p for p in passages if p.strip()] or ["some plain words without any number in them " * 5]
+def examples(rng: random.Random, passages: list[str], count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, truth and kind of the candidates in passages into which writings and lookalikes are set."""
     xs, ys, kinds = [], [], []
-    for n in range(4000):
+    for n in range(count):
         words = rng.choice(passages).split(" ")
         at = rng.randint(0, len(words))
         left, right = " ".join(words[max(0, at - 12) : at]), " ".join(words[at : at + 12])
@@ -252,22 +252,37 @@ def fit(passages: list[str], seed: int = 5) -> Model:
                 xs.append(features(text, c))
                 ys.append(c == (kind, start, start + len(own)))
                 kinds.append(c[0])
-    x, y, kinds = np.array(xs, float), np.array(ys, float), np.array(kinds)
-    trees = boosting.fit(x, y)
+    return np.array(xs, float), np.array(ys, float), np.array(kinds)
+
+
+def fit(passages: list[str], seed: int = 5) -> Model:
+    """A model from passages into which writings of every kind and lookalikes are set.
+
+    The limit of a kind is the least probability from which on PRECISION of the candidates are
+    right, among examples that neither the trees nor their calibration have seen.
+    """
+    rng = random.Random(seed)
+    passages = [p for p in passages if p.strip()] or ["some plain words without any number in them " * 5]
+    trees = boosting.fit(*examples(rng, passages, FITTED)[:2])
+    x, y, kinds = examples(rng, passages, UNSEEN)
     p, limits = trees.probability(x), {}
     for kind in KINDS:
         order = np.flatnonzero(kinds == kind)
         order = order[np.argsort(-p[order], kind="stable")]
         right = np.cumsum(y[order]) / np.arange(1, len(order) + 1)
         enough = np.flatnonzero(right >= PRECISION)
-        limits[kind] = max(float(p[order[enough[-1]]]), 0.9) if len(enough) else 2.0
+        limits[kind] = float(p[order[enough[-1]]]) if len(enough) else 2.0
     return Model(trees, limits)
 
 
 def learn(docs: DataFrame, passages: int = PASSAGES, chars: int = PASSAGE_CHARS) -> Model:
-    """A model for this corpus from the beginnings of ``passages`` documents with the least text hash."""
+    """A model for this corpus from a passage of each of ``passages`` documents, those with the least text hash.
+
+    The passage begins at a place drawn from the hash of the text, so any part of a text may be seen.
+    """
     text = F.col("text").cast("string")
-    some = docs.filter("text IS NOT NULL").select(F.xxhash64(text).alias("mark"), F.substring(text, 1, chars).alias("text"))
+    place = F.pmod(F.xxhash64(F.lit("place"), text), F.greatest(F.length(text) - chars, F.lit(0)) + 1) + 1
+    some = docs.filter("text IS NOT NULL").select(F.xxhash64(text).alias("mark"), F.substr(text, place.cast("int"), F.lit(chars)).alias("text"))
     # Gathered in a task: a bare limit would send that many rows of every partition to the driver.
     return fit(sorted(some.orderBy("mark").limit(passages).agg(F.collect_list("text")).first()[0]))
 

@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from faultline.llm.batches import by_bytes, texts
 
 SAMPLE = 20_000
+#: Score from which on a document counts as good.
+GOOD = 0.3
 BINS = 48
 PAIR_BINS = 12
 PAIRS = 6
@@ -28,7 +30,7 @@ CYCLES = 120
 PAIR_CYCLES = 40
 RATE = 0.15
 LEAF = 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 FEATURES = (
     "bytes", "words", "word_bytes", "upper", "digits", "stops", "symbols", "shouts", "bars", "high_bytes", "blanks", "line_ends",
     "distinct_words", "top_word", "short_words", "distinct_lines", "line_words", "closed_lines", "entropy", "symbol_ends",

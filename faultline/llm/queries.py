@@ -38,7 +38,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = quality.score(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= corpus_pipeline.GOOD).cast("int").alias("predicted"))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.GOOD).cast("int").alias("predicted"))
 
 
 @query("op2_pii")

@@ -65,5 +65,19 @@ def test_production_settings(spark):
     assert got == brute(rows)  # no link missed at the narrower border
 
 
+@pytest.mark.parametrize("dim", [2, 4, 8, 16, 64])
+def test_recall_by_dimension(spark, dim):
+    """Links found of those there are, with many cells and the default border."""
+    rng = np.random.default_rng(dim)
+    base = rng.normal(size=(500, dim))
+    step = rng.normal(size=(500, dim))
+    near = base + step / np.linalg.norm(step, axis=1, keepdims=True) * np.linalg.norm(base, axis=1, keepdims=True) * rng.uniform(0.05, 0.32, (500, 1))
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(np.concatenate([base, near]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found, there = sum(r.n_links for r in ed.near_duplicates(df, cells=60).collect()), sum(r[1] for r in brute(rows))
+    print(f"recall at {dim} components: {found / there:.4f} of {there // 2} links")
+    assert found / there >= (1.0 if dim <= 4 else 0.99)
+
+
 def test_empty(spark):
     assert ed.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []

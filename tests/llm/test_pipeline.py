@@ -72,3 +72,45 @@ def test_packing(spark, stages):
         if times[i] == 1:
             assert b"".join(x for _, x in sorted(pieces[i].items())) == b"".join(n.to_bytes(4, "little") for n in ids)
     assert cp.run(spark, SF).count() == stages[5].count()
+
+
+ODD = "doc_id long, text string, lang string, source string, n_lines int, n_removed string, row int, score double, copies long, rank int, k1 long, text_2 string, size long, sequence_id int, id string"
+
+
+def odd_rows(spark):
+    line = "a line that every source carries"
+    body = lambda i: f"Document number {i} tells of the river {i * 7} and of the hills beyond it, {i * 13} in all."
+    rows = [(i, f"{body(i)}\n{line}\nIt ends with {i}.", "en", f"s{i % 12}") for i in range(60)]
+    rows += [rows[3], rows[3], (None, body(70), "en", "s1"), (None, body(70), "en", "s1"), (None, None, None, None), (80, None, None, None), (81, "", None, "s2")]
+    rows += [(82, body(82), None, None), (83, "The long one goes on and on. " * 40_000, "en", "s3")]
+    return spark.createDataFrame([(*r, 1, "x", 2, 0.5, 3, 4, 5, "t", 6, 7, "i") for r in rows], ODD)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_odd_rows_and_empty_tables(spark, name):
+    step, docs = dict(cp.STAGES)[name], odd_rows(spark)
+    before = Counter(r.doc_id for r in docs.collect())
+    out = step(spark, docs, SF)
+    if name == "packing":
+        pieces = out.select("doc_id", "start", "length", "doc_tokens", "sequence_id").collect()
+        assert Counter(r.doc_id for r in pieces if r.start == 0) == before
+        assert [(r.length, r.doc_tokens) for r in pieces if r.doc_id in (80, 81)] == [(1, 1)] * 2
+        assert sum(r.length for r in pieces if r.doc_id == 83) == next(r.doc_tokens for r in pieces if r.doc_id == 83) > 200_000
+        assert step(spark, docs.limit(0), SF).collect() == []
+        return
+    assert out.columns == docs.columns
+    rows = out.collect()
+    after = Counter(r.doc_id for r in rows)
+    assert {(r.n_lines, r.n_removed, r.row, r.score, r.copies, r.rank, r.k1, r.size) for r in rows} <= {(1, "x", 2, 0.5, 3, 4, 5, 6)}
+    if name == "quality":
+        assert set(after) <= set(before) and all(after[i] == before[i] for i in after)
+    elif name == "line_dedup":
+        assert after == before
+        carried = [r.doc_id for r in rows if "every source" in (r.text or "")]
+        assert carried == [0] and next(r for r in rows if r.doc_id == 83).text.count("long one") == 40_000
+        assert {r.text for r in rows if r.doc_id in (80, 81)} == {None, ""}
+    elif name == "simhash":
+        assert after[3] == 1 and after[None] == before[None] and after[80] == 1 and 81 not in after
+    else:
+        assert set(after) <= set(before) and after[80] == after[81] == 0 or after[80] <= 2
+    assert step(spark, docs.limit(0), SF).collect() == []
