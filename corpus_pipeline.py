@@ -7,33 +7,60 @@ from pyspark.sql import functions as F
 from faultline.functions.staging import stage
 from faultline.llm import line_dedup, mixing, packing, quality, simhash
 
-GOOD = 0.3
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score ``GOOD`` or more, under a model learned from the labelled ones among ``docs``."""
+    """Documents that score ``quality.GOOD`` or more, under a model learned from the labelled ones among ``docs``.
+
+    A null text is scored as an empty one, a very long one as a whole; repeated rows share their
+    fate; null ids have no label and are scored like others; further columns, whatever their names,
+    are carried along; without labelled documents every score is the same and all stay; an empty
+    table stays empty.
+    """
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, keep_row=True).filter(F.col("score") >= GOOD).select("row.*")
+    return quality.score(docs, model, keep_row=True).filter(F.col("score") >= quality.GOOD).select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that ten or more sources carry (the first document keeps them)."""
-    kept = line_dedup.dedup_lines(docs).select(docs.columns)
+    """All documents, without the lines that ten or more sources carry (the first document keeps them).
+
+    A null source is a source of its own. Null and empty texts stay as they are; rows without an id
+    come last and keep a line only if no row with an id has it; repeated rows are treated alike.
+    ``n_chars``, if there is one, is counted again; all other columns are carried along, whatever
+    their names; an empty table stays empty.
+    """
+    kept = line_dedup.dedup_lines(docs, counts=False)
+    if "n_chars" not in docs.columns:
+        return kept
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates."""
+    """The document with the smallest id of every group of near-duplicates.
+
+    Texts without words, null and empty ones too, are near-duplicates of each other. Rows without
+    an id stay, as nothing tells them apart; of rows that repeat a kept id one stays. Long texts
+    count as a whole, further columns are carried along, an empty table stays empty.
+    """
     return simhash.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    A null source is a source of its own; null and empty texts have size 0; rows alike in id,
+    source and text share their copies evenly, null ids too; further columns are carried along;
+    an empty table stays empty.
+    """
     return mixing.mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids and their places in sequences."""
+    """Pieces of token ids and their places in sequences.
+
+    A null text is an empty one and gives the closing id alone; a very long one goes on over
+    sequences; repeated rows and null ids are packed like others; other columns are left out,
+    whatever their names; an empty table gives no pieces.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
