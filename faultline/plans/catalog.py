@@ -25,6 +25,7 @@ from faultline.sources.store import Store
 from faultline.streaming import live
 
 MINUTES, Z = 60, 2.0
+_CODE_OF_MESSAGE = "nullif(regexp_extract(message, '\\b(4\\d{2}|5\\d{2})\\b', 1), '')"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -199,11 +200,14 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """The events table as a stream, run to its end; windows behind the watermark are final."""
+    return _run_out(spark, live.stream_error_rate(tb.stream_log_events(spark, sf)))
+
+
+def _run_out(spark, results: DataFrame) -> DataFrame:
+    """What a stream over a finished folder gives once it has read it all."""
     root = scratch(spark, "stream")
-    events = tb.stream_log_events(spark, sf)
     run = (
-        live.stream_error_rate(events)
-        .writeStream.format("parquet").outputMode("append")
+        results.writeStream.format("parquet").outputMode("append")
         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
         .trigger(availableNow=True).start()
     )
@@ -211,6 +215,45 @@ def _(spark, sf):
     return spark.read.parquet(f"{root}/out")
 
 
+@query(
+    "stream_health",
+    """SELECT w AS window_start, w + INTERVAL 15 MINUTE AS window_end, service_name, count(*) AS total_logs,
+      count(*) FILTER (WHERE level IN ('WARNING', 'ERROR', 'CRITICAL')) AS error_count, count(*) FILTER (WHERE level = 'CRITICAL') AS critical_count,
+      count(*) FILTER (WHERE status_code BETWEEN 500 AND 599) AS status_5xx_count,
+      round_even(count(*) FILTER (WHERE level IN ('WARNING', 'ERROR', 'CRITICAL')) / count(*) * 100.0, 2) AS error_rate
+    FROM (SELECT *, date_trunc('minute', ts) - to_minutes(unnest(range(15))) AS w FROM logs)
+    WHERE w + INTERVAL 15 MINUTE <= (SELECT now - INTERVAL 10 MINUTE FROM clock) GROUP BY w, service_name""",
+)
+def _(spark, sf):
+    """Trailing health from minute counters, two windows one behind the other."""
+    return _run_out(spark, live.stream_health(tb.stream_log_events(spark, sf)))
+
+
+@query(
+    "stream_anomalies",
+    f"""SELECT bucket AS window_start, service_name, total_logs, error_count,
+      concat_ws(',', CASE WHEN r1 THEN 'error_spike' END, CASE WHEN r2 THEN 'volume_spike' END, CASE WHEN r3 THEN 'critical' END, CASE WHEN r4 THEN 'http_5xx' END) AS reason_codes
+    FROM rules WHERE (r1 OR r2 OR r3 OR r4) AND bucket + INTERVAL {MINUTES} MINUTE <= (SELECT max(bucket) FROM buckets) - INTERVAL 10 MINUTE""",
+)
+def _(spark, sf):
+    """The rules on a stream, against the baselines of the stored series."""
+    past = stage(bk.baselines(_buckets(spark, sf)), "baselines")
+    return codes(_run_out(spark, live.stream_anomalies(tb.stream_log_events(spark, sf), past, Z, MINUTES)))
+
+
+@query(
+    "stream_events",
+    f"""SELECT strftime(ts, '%Y-%m-%d') AS day, service_name, level, count(*) AS n, count(*) FILTER (WHERE {_CODE_OF_MESSAGE} IS NOT NULL) AS coded FROM logs GROUP BY ALL""",
+)
+def _(spark, sf):
+    """A folder of log files, tailed through the line rules; counted once all of it has been read."""
+    files = scratch(spark, "files")
+    tb.write_daily_files(tb.log_events(spark, sf, True), files, "text")
+    events = _run_out(spark, live.stream_events(spark, f"{files}/*"))
+    day = F.date_format("timestamp", "yyyy-MM-dd").alias("day")
+    return events.groupBy(day, "service_name", "level").agg(F.count("*").alias("n"), F.count("status_code").alias("coded"))
+
+
 # ---------------------------------------------------------------- root cause and incidents
 
 
