@@ -820,7 +820,7 @@ clustered AS (SELECT leader, first_line, n, template FROM placed JOIN tmpl USING
 @query("leader_similarity", "{LEADERS} SELECT first_line AS node, leader, round(sim, 6) AS sim FROM placed")
 def _(spark, sf):
     templates = stage(cl.template_table(cl.with_templates(tb.document_logs(spark, sf))), "templates")
-    return cl.leader_assignment(cl.tfidf(templates)).select("node", "leader", "sim")
+    return cl.leader_assignment(cl.term_vectors(templates)).select("node", "leader", "sim")
 
 
 @query(
