@@ -14,8 +14,8 @@ from faultline.functions.staging import stage
 
 MIN_SITES = 10
 LG_K = 12
-#: Three standard errors of a sketch with 2^LG_K registers.
-ERROR = 3 * 1.04 / 2 ** (LG_K / 2)
+#: Five standard errors of a sketch with 2^LG_K registers.
+ERROR = 5 * 1.04 / 2 ** (LG_K / 2)
 
 
 def hashes(text: Column, names: tuple[str, str]) -> list[Column]:
