@@ -144,16 +144,37 @@ def detect_anomalies(
 
 SAMPLES = 3
 
+#: Bits of the bitmap of anomalous cells, in words of 64: a table of at most 131,072 rows, whatever the data.
+CELL_BITS = 1 << 23
+
+
+def _cell_bit(bits: int) -> Column:
+    return F.pmod(F.xxhash64(*SERIES, "cell"), F.lit(bits))
+
+
+def near_anomalies(cells: DataFrame, wanted: DataFrame, bits: int = CELL_BITS) -> DataFrame:
+    """The rows of ``cells`` whose (run, service, cell) may be in ``wanted``; none that is gets lost.
+
+    A bitmap of fixed size over the hashed keys. It goes to every task, so ``cells`` is not
+    shuffled; with very many anomalies it fills up and lets more rows through.
+    """
+    at = _cell_bit(bits)
+    low = at.bitwiseAND(F.lit(63)).cast("int")
+    hits = wanted.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), low).alias("mask"))
+    words = hits.groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    marked = cells.withColumns({"word": F.shiftright(at, 6), "bit": low})
+    return marked.join(F.broadcast(words), "word").where(F.bit_get("mask", F.col("bit")) == 1).drop("word", "bit", "mask")
+
 
 def anomaly_samples(anomalies: DataFrame, events: DataFrame, minutes: int) -> DataFrame:
     """First three messages around each anomaly, error messages first choice.
 
     The range [bucket - w, bucket + w] is closed at both ends. It equals the two whole
     windows starting at bucket - w and at bucket, plus the single instant bucket + w. So
-    the logs are first cut to three rows per (run, service, window, on-the-instant) cell,
-    which Spark does map-side before any shuffle, and only those few rows meet the
-    anomalies in an equi join. A cell with a third of all logs still leaves each task
-    with three rows.
+    the logs near an anomaly, found by a bitmap, are cut to three rows per (run, service,
+    window, on-the-instant) cell, which Spark does map-side before any shuffle, and only
+    those few rows meet the anomalies in an equi join. A cell with a third of all logs still
+    leaves each task with three rows, and logs elsewhere are not sorted.
     """
     width = minutes * time.MINUTE_US
     cells = events.select(
@@ -164,14 +185,15 @@ def anomaly_samples(anomalies: DataFrame, events: DataFrame, minutes: int) -> Da
         "line_no",
         "message",
     )
-    order = [F.col("rank_group"), F.col("line_no")]
-    first_in_cell = Window.partitionBy(*SERIES, "cell", "on_edge").orderBy(*order)
-    kept = cells.withColumn("rn", F.row_number().over(first_in_cell)).where(F.col("rn") <= SAMPLES).drop("rn")
-
     key = time.floor_index(F.col("timestamp"), minutes)
     wanted = anomalies.select(
         *SERIES, "timestamp", F.explode(F.array(key - 1, key, key + 1)).alias("cell"), key.alias("home")
     )
+    order = [F.col("rank_group"), F.col("line_no")]
+    first_in_cell = Window.partitionBy(*SERIES, "cell", "on_edge").orderBy(*order)
+    numbered = near_anomalies(cells, wanted).withColumn("rn", F.row_number().over(first_in_cell))
+    kept = numbered.where(F.col("rn") <= SAMPLES).drop("rn")
+
     near = wanted.join(kept, [*SERIES, "cell"]).where((F.col("cell") <= F.col("home")) | F.col("on_edge"))
     # At most fifteen rows per anomaly arrive here.
     picked = near.groupBy(*SERIES, "timestamp").agg(

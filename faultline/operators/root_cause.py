@@ -8,6 +8,8 @@ from faultline.functions import text
 
 SERIES = ["run_id", "service_name"]
 
+DAY_US = 86_400_000_000
+
 NO_ANOMALIES = "No anomalies detected to evaluate root cause."
 
 
@@ -35,20 +37,30 @@ def first_seen(anomalies: DataFrame) -> DataFrame:
     )
 
 
-def score_services(anomalies: DataFrame, hints: DataFrame) -> DataFrame:
-    """Score of every anomalous service.
+def later_services(seen: DataFrame) -> DataFrame:
+    """(run_id, first_ts) with ``run_start`` and the number of services of ``seen`` that began strictly later.
 
-    The windows run over one row per service of a run, after aggregation.
+    Services are counted per instant, and instants per day, so a run of any number of services is
+    ordered in rows of instants of one day, and of days: bucket times, few of either.
     """
+    day = F.floor(F.unix_micros("first_ts") / DAY_US)
+    instants = seen.groupBy("run_id", "first_ts").agg(F.count("*").alias("n")).withColumn("day", day)
+    days = instants.groupBy("run_id", "day").agg(F.sum("n").alias("n"), F.min("first_ts").alias("day_start"))
     run = Window.partitionBy("run_id")
-    instant = F.unix_micros("first_ts")
-    later = run.orderBy(instant).rangeBetween(1, Window.unboundedFollowing)
-    seen = (
-        first_seen(anomalies)
-        .join(hints, SERIES, "left")
-        .withColumn("run_start", F.min("first_ts").over(run))
-        .withColumn("later_services", F.count(F.lit(1)).over(later))
+    days_after = run.orderBy("day").rowsBetween(1, Window.unboundedFollowing)
+    days = days.select(
+        "run_id", "day", F.coalesce(F.sum("n").over(days_after), F.lit(0)).alias("beyond"), F.min("day_start").over(run).alias("run_start")
     )
+    rest_of_day = Window.partitionBy("run_id", "day").orderBy("first_ts").rowsBetween(1, Window.unboundedFollowing)
+    later = F.coalesce(F.sum("n").over(rest_of_day), F.lit(0)) + F.col("beyond")
+    return instants.join(days, ["run_id", "day"]).select("run_id", "first_ts", "run_start", later.alias("later_services"))
+
+
+def score_services(anomalies: DataFrame, hints: DataFrame) -> DataFrame:
+    """Score of every anomalous service."""
+    instant = F.unix_micros("first_ts")
+    seen = first_seen(anomalies).join(hints, SERIES, "left")
+    seen = seen.join(later_services(first_seen(anomalies)), ["run_id", "first_ts"])
     lag_us = instant - F.unix_micros("run_start")
     chronology = (
         F.when(lag_us == 0, 40).when(lag_us <= 60_000_000, 25).when(lag_us <= 180_000_000, 10).otherwise(0)

@@ -132,6 +132,29 @@ def test_samples_equal_range_scan(spark):
         assert r["sample_messages"] == brute_samples(pdf, pd.Timestamp(r["timestamp"]), r["service_name"], 1)
 
 
+def test_bitmap_of_cells_loses_none_and_may_be_full(spark):
+    cells = spark.range(20_000).selectExpr("'r' AS run_id", "'s' AS service_name", "id AS cell", "id AS line_no")
+    wanted = cells.where("cell % 97 = 5").select("run_id", "service_name", "cell")
+    for bits, most in ((an.CELL_BITS, 250), (64, 20_000)):
+        near = an.near_anomalies(cells, wanted, bits)
+        assert near.columns == cells.columns
+        got = {r["cell"] for r in near.select("cell").collect()}
+        assert got >= set(range(5, 20_000, 97)) and len(got) <= most
+    assert an.near_anomalies(cells, wanted.limit(0)).count() == 0
+
+
+def test_later_services_equal_a_plain_count(spark):
+    rows = [(f"r{i % 3}", f"s{i}", (i * i * 7919) % 40 * 3600 * 7 + (i % 5)) for i in range(300)]
+    seen = spark.createDataFrame(rows, "run_id string, service_name string, sec bigint")
+    seen = seen.select("run_id", "service_name", F.timestamp_seconds("sec").alias("first_ts"))
+    got = {(r["run_id"], r["first_ts"]): (r["later_services"], r["run_start"]) for r in rc.later_services(seen).collect()}
+    own = [(r["run_id"], r["first_ts"]) for r in seen.collect()]
+    assert set(got) == set(own)
+    for run, at in own:
+        stamps = [t for r, t in own if r == run]
+        assert got[run, at] == (sum(t > at for t in stamps), min(stamps))
+
+
 HAND_MADE = [
     (0, "database", ["Connection pool exhaustion warning"], 0.85, "slots are reserved"),
     (120, "payment-api", ["Error count spike (Z-Score: 3.42)"], 0.90, "Database timeout occurred"),

@@ -25,6 +25,11 @@ def test_samples_cut_before_the_shuffle(spark):
     logs = tb.log_events(spark, SF)
     text = plan(an.anomaly_samples(an.detect_anomalies(bucket_counts(logs, 60)), logs, 60))
     assert "row_number(), 3, Partial" in text and "row_number(), 3, Final" in text
+    # logs meet the bitmap of anomalous cells, unshuffled, before they are sorted
+    below = text[text.index("row_number(), 3, Partial"):]
+    below = below[:below.index("Scan parquet")]
+    assert "BroadcastHashJoin [word" in below and "SortMergeJoin" not in below
+    assert "Exchange" not in below[:below.index("BroadcastHashJoin [word")]
 
 
 def test_baseline_reuses_the_counters(spark):
