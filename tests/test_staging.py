@@ -37,3 +37,20 @@ def test_stage_bucketed(spark):
     assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
     assert sum(r["count"] for r in counts.collect()) == 50
     staging.release(spark)
+
+
+def test_discard_removes_one_table(spark):
+    first, second = (staging.stage(spark.range(n), "some", codec="zstd") for n in (3, 5))
+    staging.discard(first, second.filter("id > 1"))
+    assert second.count() == 5
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        first.count()
+    staging.release(spark)
+
+
+def test_shuffle_setting_comes_back(spark):
+    before = spark.conf.get(staging.CLEANUP)
+    with pytest.raises(ZeroDivisionError), staging.without_shuffles(spark):
+        assert spark.conf.get(staging.CLEANUP) == "true"
+        1 / 0  # noqa: B018
+    assert spark.conf.get(staging.CLEANUP) == before
