@@ -1,5 +1,8 @@
 """From raw documents to packed training sequences, one stored stage after the other."""
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -7,7 +10,26 @@ from pyspark.sql import functions as F
 from faultline.functions.staging import stage
 from faultline.llm import line_dedup, mixing, packing, quality, simhash
 
+#: Size of the batches that go between Spark and Python. Spark's default, 10,000 rows up to 64 MB, is held several
+#: times over for each task, beside the heap and the word tables of workers that earlier stages leave behind.
+BATCH_SIZE = "4m"
+
+
+def small_batches(step: Callable) -> Callable:
+    """``step`` in a session that hands texts to Python ``BATCH_SIZE`` at a time; a longer text goes alone.
+
+    The setting stays in the session, as a stage's rows are computed when they are written.
+    """
+
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_SIZE)
+        return step(spark, docs, sf_dir)
+
+    return run
+
 
+@small_batches
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score ``quality.GOOD`` or more, under a model learned from the labelled ones among ``docs``.
 
@@ -20,6 +42,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model, keep_row=True).filter(F.col("score") >= quality.GOOD).select("row.*")
 
 
+@small_batches
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that ten or more sources carry (the first document keeps them).
 
@@ -34,6 +57,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+@small_batches
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near-duplicates.
 
@@ -44,6 +68,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.keep_one(docs)
 
 
+@small_batches
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them.
 
@@ -54,6 +79,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mix(docs)
 
 
+@small_batches
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids and their places in sequences.
 

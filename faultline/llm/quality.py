@@ -191,10 +191,21 @@ def score(docs: DataFrame, model: Model, keep_row: bool = False) -> DataFrame:
     columns change nothing. An empty table gives an empty result.
     """
     text = F.col("text").cast("string").alias("text")
-    wanted = docs.select(F.struct("*").alias("row") if keep_row else F.col("doc_id").alias("row"), text)
+    names = [f.name for f in docs.schema]
+    # a text that is in its row goes to Python once
+    at = names.index("text") if keep_row and [n.lower() for n in names].count("text") == 1 and "text" in names else None
+    if at is not None and isinstance(docs.schema[at].dataType, T.StringType):
+        wanted = docs.select(F.struct("*").alias("row"))
+    else:
+        at, wanted = None, docs.select(F.struct("*").alias("row") if keep_row else F.col("doc_id").alias("row"), text)
+
+    def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0)
+            yield batch if at is None else pa.RecordBatch.from_arrays([rows, rows.field(at)], ["row", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_bytes(batches, "text", SLICE_BYTES):
+        for part in by_bytes(with_text(batches), "text", SLICE_BYTES):
             scores = model.score(np.stack([describe(t) for t in texts(part)]))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], ["row", "score"])
 

@@ -2,8 +2,10 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -114,3 +116,24 @@ def test_odd_rows_and_empty_tables(spark, name):
     else:
         assert set(after) <= set(before) and after[80] == after[81] == 0 or after[80] <= 2
     assert step(spark, docs.limit(0), SF).collect() == []
+
+
+@pytest.mark.parametrize("name,step", cp.STAGES)
+def test_batches_to_python_are_bounded_by_bytes(spark, name, step):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    step(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(20), SF)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == cp.BATCH_SIZE
+
+
+def test_a_text_goes_to_python_once(spark):
+    model = quality.fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0))
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "y")], "doc_id long, text string, source string")
+
+    def into_python(df):
+        plan = quality.score(df, model, keep_row=True)._jdf.queryExecution().optimizedPlan()
+        return plan.children().apply(0).output().size()
+
+    assert into_python(docs) == 1
+    assert into_python(docs.withColumn("text", F.col("text").cast("binary"))) == 2
+    kept = quality.score(docs, model, keep_row=True).select("row.*").collect()
+    assert sorted(map(tuple, kept)) == sorted(map(tuple, docs.collect()))
